@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, warc
+from . import classifier, packing, rules, warc
+from .hashed import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +26,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from folds 1 to 4 of crc32(doc_id) mod 5; fold 0 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    out = classifier.classify(docs, learn, threshold=0.3)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(table(spark, sf_dir, "pages"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op8_warc_zip)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_classifier, op5_quality_rules, op8_warc_zip)}
 
 
 _BASE32 = " || ".join(
