@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, rules, warc
+from . import classifier, langid, packing, rules, warc
 from .hashed import fold
 
 
@@ -44,8 +44,16 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from all folds but 2 of crc32(doc_id) mod 4, which is held out."""
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.select("doc_id", "lang").filter(fold(F.col("doc_id"), 4) != 2)
+    out = langid.identify(docs.select("doc_id", "text"), learn)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_classifier, op5_quality_rules, op8_warc_zip)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_classifier, op5_quality_rules, op8_warc_zip, op10_language_id)}
 
 
 _BASE32 = " || ".join(
