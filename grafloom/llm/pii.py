@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators of further candidates; each is bounded in length.
-_WORDED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[(\[{<]?\x20?(?:at|AT)\x20?[)\]}>]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[{<]?\x20?(?:dot|DOT|\.)\x20?[)\]}>]?\x20?[A-Za-z0-9-]{2,24}){1,4}")
+_WORDED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[(\[{<]?\x20?(?:at|AT)\x20?[)\]}>]?\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[{<]?\x20?(?:dot|DOT)\x20?[)\]}>]?\x20?[A-Za-z0-9-]{2,24}){1,4}")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
 
@@ -90,7 +90,7 @@ _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}
 def candidates(text: str) -> list[Span]:
     """Spans of any kind that might be private; a number is proposed as card and as phone."""
     out: list[Span] = []
-    if "dot" in text or "DOT" in text or " at" in text or "(at" in text or "[at" in text:
+    if "dot" in text or "DOT" in text:
         out += [(0, m.start(), m.end()) for m in _WORDED.finditer(text)]
     if text.count(":") >= 2:
         out += [(1, m.start(), m.end()) for m in _SIX.finditer(text)]
