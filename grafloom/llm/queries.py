@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, langid, packing, pii, rules, secrets, warc
+from . import classifier, decontaminate, langid, neardup, packing, pii, rules, secrets, warc
 from .hashed import fold
 
 
@@ -30,6 +30,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from folds 1 to 4 of crc32(doc_id) mod 5; fold 0 is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,7 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_classifier, op5_quality_rules, op6_secret_scans, op7_benchmark_decontamination, op8_warc_zip, op9_personal_data, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_secret_scans, op7_benchmark_decontamination, op8_warc_zip, op9_personal_data, op10_language_id)}
 
 
 _BASE32 = " || ".join(
