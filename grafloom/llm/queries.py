@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, langid, neardup, packing, pii, rules, secrets, warc
+from . import classifier, decontaminate, langid, neardup, packing, pii, repeats, rules, secrets, warc
 from .hashed import fold
 
 
@@ -30,6 +30,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), need=400, keep="none")
+    return out.select("doc_id", "n_bytes", repeats.span_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
 
@@ -85,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_secret_scans, op7_benchmark_decontamination, op8_warc_zip, op9_personal_data, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_secret_scans, op7_benchmark_decontamination, op8_warc_zip, op9_personal_data, op10_language_id)}
 
 
 _BASE32 = " || ".join(
