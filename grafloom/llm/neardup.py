@@ -28,8 +28,10 @@ from .textbatch import _U, Slice, Words, mix, slices, windows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 28, 5
 SALTS = 32
+FEW = 200_000  # rows, of some 24 bytes, that one task takes
+IDLE = 3
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -137,7 +139,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b, left, right: two shingle sets) those whose Jaccard similarity reaches threshold: a, b."""
+    """Of pairs (la, lb, left, right: two shingle sets) those whose Jaccard similarity reaches threshold: la, lb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,28 +153,33 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
                     common = int((both[1:] == both[:-1]).sum())
                     ok = common >= threshold * (len(both) - common)
                 keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("la"), batch.column("lb")], names=["la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("la", "lb", "left", "right").mapInArrow(run, "la long, lb long")
 
 
-def leader_pairs(groups: DataFrame, rnd: int) -> DataFrame:
-    """(a, b) of each member and a leader of its group; groups: key, doc_id, and label of what it is connected to.
+def leader_pairs(groups: DataFrame, rnd: int, salts: int = SALTS) -> DataFrame:
+    """Pairs (a, b) of each member and a leader of its group, with their labels la and lb.
 
-    Only one member of each label in a group takes part.  A group is split by
-    salts, each with a leader of its own, and those are compared with one
-    leader; so that no task gets a large group whole.  Leaders are the least
-    ids first and the least hashes in later rounds.
+    groups: key, doc_id, and label of what a document is connected to already.
+    With salts, a group is split, each part has a leader of its own, and those
+    are compared with one leader; so that no task gets a large group whole.
+    Leaders are the least ids first and the least hashes in later rounds.
     """
-    rank = F.col("doc_id") if rnd == 0 else F.xxhash64(F.lit(rnd), "key", "doc_id")
-    reps = groups if rnd == 0 else groups.groupBy("key", "label").agg(F.min_by("doc_id", F.xxhash64(F.lit(rnd), "key", "doc_id")).alias("doc_id"))
-    salted = reps.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(rnd)), F.lit(SALTS))).withColumn("order", rank)
-    own = Window.partitionBy("key", "salt")
-    led = salted.withColumn("lead", F.min_by("doc_id", "order").over(own))
-    heads = salted.groupBy("key", "salt").agg(F.min_by("doc_id", "order").alias("doc_id"), F.min("order").alias("order"))
-    top = heads.withColumn("lead", F.min_by("doc_id", "order").over(Window.partitionBy("key")))
-    both = led.select("lead", "doc_id").union(top.select("lead", "doc_id")).filter(F.col("lead") != F.col("doc_id"))
-    return both.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+    order = F.col("doc_id") if rnd == 0 else F.xxhash64(F.lit(rnd), "key", "doc_id")
+    member = groups.select("key", F.struct(order.alias("order"), "doc_id", "label").alias("m"))
+    if salts > 1:
+        salted = member.withColumn("salt", F.pmod(F.xxhash64("m.doc_id", F.lit(rnd)), F.lit(salts)))
+        led = salted.withColumn("lead", F.min("m").over(Window.partitionBy("key", "salt")))
+        top = led.filter(F.col("m") == F.col("lead")).select("key", "m", F.min("m").over(Window.partitionBy("key")).alias("lead"))
+        both = led.select("m", "lead").union(top.select("m", "lead"))
+    else:
+        both = member.select("m", F.min("m").over(Window.partitionBy("key")).alias("lead"))
+    both = both.filter(F.col("lead.label") != F.col("m.label"))
+    swap = F.col("lead.doc_id") > F.col("m.doc_id")
+    one, two = F.when(swap, F.col("m")).otherwise(F.col("lead")), F.when(swap, F.col("lead")).otherwise(F.col("m"))
+    both = both.select(one.alias("one"), two.alias("two"))
+    return both.select(F.col("one.doc_id").alias("a"), F.col("two.doc_id").alias("b"), F.col("one.label").alias("la"), F.col("two.label").alias("lb")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "log", max_rounds: int = 50) -> DataFrame:
@@ -195,35 +202,48 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "log
     groups = written(spark, keyed.join(written(spark, shared, "keys"), "key", "left_semi").withColumn("label", F.col("doc_id")), "groups")
     near = _linked(spark, docs, groups, threshold, max_rounds)
     # Every row's class: that of the first of its word sequence.
-    of_first = firsts.join(near, firsts["first"] == near["id"], "left").select("k1", "k2", F.coalesce("component", "first").alias("class_id"))
+    of_first = firsts.join(near, firsts["first"] == near["doc_id"], "left").select("k1", "k2", F.coalesce("label", "first").alias("class_id"))
     of_first = written(spark, of_first, "classes")
     return sketches.select("doc_id", "k1", "k2").join(of_first, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
-    """(id, component) of the documents that verified links connect."""
-    members = written(spark, groups.select("doc_id").distinct(), "members")
-    sets = shingle_sets(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """(doc_id, label: the least doc_id it is connected to by verified links) of the documents in groups.
+
+    A round's links join labels.  The next one works on groups that still hold
+    several labels, with one member for each label in a group, drawn anew for
+    each group.  A group in which that joins nothing is left after as many
+    rounds as it has labels to compare, IDLE at most: its members meet others in
+    other bands.  Few rows are dealt with in one task, without exchanges.
+    """
+    named = written(spark, groups.select("doc_id", "label").distinct(), "members")
+    sets = shingle_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     sets = written(spark, sets, "sets", "none")
-    none = spark.createDataFrame([], "a long, b long")
-    links, near, labelled = none, spark.createDataFrame([], "id long, component long"), groups
+    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
+    groups, salts = groups.withColumn("labels", F.lit(0)).withColumn("idle", F.lit(0)), SALTS
     for rnd in range(max_rounds):
-        pairs = leader_pairs(labelled, rnd)
-        left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
-        new = written(spark, similar(pairs.join(right, "b").join(left, "a"), threshold), "links")
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        near = written(spark, connected_components(links), "near")
-        if rnd + 1 == max_rounds:
+        pairs = written(spark, leader_pairs(groups, rnd, salts), "pairs")
+        links = written(spark, similar(right.join(left.join(pairs, "a"), "b"), threshold), "links")
+        merged = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        merged = written(spark, merged.select(F.col("id").alias("label"), "component"), "merged")
+        relabel = lambda df: df.join(merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")  # noqa: B023, E731
+        named = written(spark, _few(relabel(named), named.count()), "members")
+        one_each = relabel(groups).groupBy("key", "label").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("doc_id"), F.max("labels").alias("before"), F.max("idle").alias("idle"))
+        one_each = written(spark, one_each, "labels")
+        counted = one_each.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("labels"), F.max("before").alias("before"), F.max("idle").alias("idle"))
+        counted = counted.withColumn("idle", F.when(F.col("labels") == F.col("before"), F.col("idle") + 1).otherwise(0)).filter((F.col("labels") > 1) & (F.col("idle") < F.least(F.col("labels") - 1, F.lit(IDLE))))
+        groups = one_each.select("key", "doc_id", "label").join(counted.select("key", "labels", "idle"), "key")
+        groups = written(spark, groups, "groups")
+        left_over = groups.count()
+        if not left_over:
             break
-        named = groups.drop("label").join(near, groups["doc_id"] == near["id"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-        apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        labelled = written(spark, named.join(written(spark, apart, "apart"), "key", "left_semi"), "labelled")
-        if labelled.isEmpty():
-            break
-    return near
+        groups, salts = (groups.coalesce(1), 1) if left_over <= FEW else (groups, SALTS)
+    return named
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(1) if rows <= FEW else df
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "log") -> DataFrame:

@@ -95,8 +95,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for x in got} and {x for a, b in edges if a != b for x in (a, b)} == set(got)
+    for few in (0, 1000):
+        got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {x: root(x) for x in got} and {x for a, b in edges if a != b for x in (a, b)} == set(got)
 
 
 def test_nothing(spark):
