@@ -114,11 +114,15 @@ class Rows(NamedTuple):
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
 
+#: Texts are taken so many bytes at a time to train on: every word's features are laid out, some 200 bytes for each of text.
+ROWS_BYTES = 64 << 10
+
+
 def rows_of(texts: pa.Array, spec: Spec) -> Rows:
     """Features of a bounded number of texts, to train on."""
     sizes, buckets, shares = [], [], []
     size = 1 << spec.bits
-    for part in slices(texts):
+    for part in slices(texts, ROWS_BYTES):
         u = units(part, spec)
         n = part.last - part.first
         key, times = np.unique(u.words.row() * max(1, u.n_distinct) + u.distinct, return_counts=True)
