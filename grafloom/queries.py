@@ -37,10 +37,10 @@ nations: Graph = G.nations
 flow: Graph = G.flow
 
 
-def add(name: str, graph: Graph, run: Callable[[G.PropertyGraph], DataFrame], views: str = "", sql: str = "", recursive: bool = False) -> None:
+def add(name: str, graph: Graph, run: Callable[[G.PropertyGraph], DataFrame], views: str = "", sql: str = "") -> None:
     QUERIES[name] = lambda spark, d: run(graph(spark, d))
     if sql:
-        SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{views}{', ' if not sql.startswith('SELECT') else ' '}{sql}"
+        SQL[name] = f"WITH RECURSIVE {views}{', ' if not sql.startswith('SELECT') else ' '}{sql}"
 
 
 def _r(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
@@ -161,17 +161,17 @@ add("nxalg_weakly_connected_components_subgraph", geo, lambda g: g.call("nxalg.w
 
 # ---- distances and paths ------------------------------------------------------------
 
-_DIST = """D AS (SELECT a.id AS s, b.id AS t, CASE WHEN a.id = b.id THEN 0 WHEN EXISTS (SELECT 1 FROM E WHERE src = a.id AND dst = b.id) THEN 1
-WHEN EXISTS (SELECT 1 FROM E x JOIN E y ON y.src = x.dst WHERE x.src = a.id AND y.dst = b.id) THEN 2 ELSE 3 END AS d FROM V a, V b)"""
+_STEPS = "W(s, t, d) AS (SELECT id, id, 0 FROM V UNION SELECT s, dst, d + 1 FROM W JOIN {e} ON src = t WHERE d < 8)"
+_DIST = f"{_STEPS.format(e='E')}, D AS (SELECT s, t, min(d) AS d FROM W GROUP BY s, t)"
 add("nxalg_shortest_path_length", nations, lambda g: g.call("nxalg.shortest_path_length", source=0), NATIONS, f"{_DIST} SELECT s AS source, t AS target, d::DOUBLE AS length FROM D WHERE s = 0")
 add("nxalg_shortest_path", nations, lambda g: g.call("nxalg.shortest_path", source=0).select("target", F.size("path").alias("n")), NATIONS, f"{_DIST} SELECT t AS target, (d + 1)::INT AS n FROM D WHERE s = 0")
 add("igraphalg_shortest_path_length", nations, lambda g: g.call("igraphalg.shortest_path_length", 0, 7), NATIONS, f"{_DIST} SELECT d::DOUBLE AS length FROM D WHERE s = 0 AND t = 7")
 add("igraphalg_get_shortest_path", nations, lambda g: g.call("igraphalg.get_shortest_path", 0, 7).select(F.size("path").alias("n")), NATIONS, f"{_DIST} SELECT (d + 1)::INT AS n FROM D WHERE s = 0 AND t = 7")
-add("igraphalg_all_shortest_path_lengths", nations, lambda g: g.call("igraphalg.all_shortest_path_lengths", directed=True), NATIONS, f"{_DIST} SELECT s AS src_node, t AS dest_node, d::DOUBLE AS length FROM D")
+add("igraphalg_all_shortest_path_lengths", nations, lambda g: g.call("igraphalg.all_shortest_path_lengths", directed=True), NATIONS, f"{_DIST} SELECT a.id AS src_node, b.id AS dest_node, coalesce(d::DOUBLE, 'inf'::DOUBLE) AS length FROM V a CROSS JOIN V b LEFT JOIN D ON s = a.id AND t = b.id")
 add("nxalg_diameter", nations, lambda g: g.call("nxalg.diameter"), NATIONS, f"{_DIST} SELECT max(d)::BIGINT AS diameter FROM D")
 add("nxalg_center", nations, lambda g: g.call("nxalg.center"), NATIONS, f"{_DIST}, X AS (SELECT s, max(d) AS e FROM D GROUP BY s) SELECT s AS center FROM X WHERE e = (SELECT min(e) FROM X)")
-add("nxalg_wiener_index", nations, lambda g: g.call("nxalg.wiener_index"), NATIONS, f"{_DIST} SELECT sum(d)::DOUBLE AS wiener_index FROM D")
-add("nxalg_global_efficiency", nations, lambda g: _r(g.call("nxalg.global_efficiency"), "global_efficiency"), NATIONS.replace("V AS", "E1 AS (SELECT src, dst FROM E UNION SELECT dst, src FROM E), V AS"), f"{_DIST.replace('FROM E', 'FROM E1').replace('JOIN E', 'JOIN E1')} SELECT round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(*) FROM V) * ((SELECT count(*) FROM V) - 1)), 9) AS global_efficiency FROM D")
+add("nxalg_wiener_index", nations, lambda g: g.call("nxalg.wiener_index"), NATIONS, f"{_DIST} SELECT CASE WHEN count(*) < (SELECT count(*) * count(*) FROM V) THEN 'inf'::DOUBLE ELSE sum(d)::DOUBLE END AS wiener_index FROM D")
+add("nxalg_global_efficiency", nations, lambda g: _r(g.call("nxalg.global_efficiency"), "global_efficiency"), NATIONS.replace("V AS", "E1 AS (SELECT src, dst FROM E UNION SELECT dst, src FROM E), V AS"), f"{_DIST.replace('JOIN E ', 'JOIN E1 ')} SELECT round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(*) FROM V) * ((SELECT count(*) FROM V) - 1)), 9) AS global_efficiency FROM D")
 add("nxalg_has_path", geo, lambda g: g.call("nxalg.has_path", G.CUSTOMER + 1, 0), GEO, f"{_ROOT} SELECT root = 0 AS has_path FROM R WHERE id = 2000000001")
 add("nxalg_all_shortest_paths", nations, lambda g: g.call("nxalg.all_shortest_paths", 0, 7).agg(F.count(F.lit(1)).alias("n")), NATIONS, "SELECT CASE WHEN EXISTS (SELECT 1 FROM E WHERE src = 0 AND dst = 7) THEN 1 ELSE (SELECT count(*) FROM E x JOIN E y ON y.src = x.dst WHERE x.src = 0 AND y.dst = 7) END AS n")
 add("nxalg_all_simple_paths", nations, lambda g: g.call("nxalg.all_simple_paths", 0, 7, 2).agg(F.count(F.lit(1)).alias("n")), NATIONS, "SELECT (SELECT count(*) FROM E WHERE src = 0 AND dst = 7) + (SELECT count(*) FROM E x JOIN E y ON y.src = x.dst WHERE x.src = 0 AND y.dst = 7 AND x.dst NOT IN (0, 7)) AS n")
@@ -201,11 +201,11 @@ for _n in ("bfs_predecessors", "bfs_edges", "bfs_successors", "bfs_tree", "dfs_t
     _col = {"bfs_tree": "tree", "dfs_tree": "tree", "dfs_preorder_nodes": "nodes", "dfs_postorder_nodes": "nodes", "edge_bfs": "edges", "edge_dfs": "edges"}.get(_n)
     add(f"nxalg_{_n}", nations, lambda g, n=_n, c=_col: g.call(f"nxalg.{n}", 0).select(F.explode(c).alias("x")).agg(F.count(F.lit(1)).alias("n")) if c else g.call(f"nxalg.{n}", 0).agg(F.count(F.lit(1)).alias("n")))
     if _n in ("bfs_tree", "dfs_tree", "dfs_preorder_nodes", "dfs_postorder_nodes"):
-        SQL[f"nxalg_{_n}"] = f"WITH {NATIONS} SELECT count(*) AS n FROM V"
+        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) AS n FROM D WHERE s = 0"
     elif _n in ("bfs_predecessors", "bfs_edges", "dfs_predecessors"):
-        SQL[f"nxalg_{_n}"] = f"WITH {NATIONS} SELECT count(*) - 1 AS n FROM V"
+        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) - 1 AS n FROM D WHERE s = 0"
     elif _n in ("edge_bfs", "edge_dfs"):
-        SQL[f"nxalg_{_n}"] = f"WITH {NATIONS} SELECT count(*) AS n FROM E"
+        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) AS n FROM E JOIN D ON t = src WHERE s = 0"
 add("nxalg_minimum_spanning_tree", nations, lambda g: g.call("nxalg.minimum_spanning_tree").select(F.size("nodes").alias("nodes"), F.size("edges").alias("edges")), NATIONS, "SELECT count(*)::INT AS nodes, (count(*) - 1)::INT AS edges FROM V")
 add("igraphalg_spanning_tree", geo, lambda g: g.call("igraphalg.spanning_tree").select(F.get("tree", F.lit(0)).alias("a"), F.get("tree", F.lit(1)).alias("b")), GEO, "SELECT src AS a, dst AS b FROM E")
 add("max_flow_get_flow", nations, lambda g: _r(g.call("max_flow.get_flow", 0, 7), "max_flow"))
@@ -320,7 +320,7 @@ over_lists("collections_to_set", lambda: _text(F.sort_array(C.to_set("p"))), "ar
 over_lists("collections_pairs", lambda: F.array_join(F.transform(C.pairs("q"), lambda x: F.concat(F.get(x, F.lit(0)).cast("string"), F.lit("-"), F.coalesce(F.get(x, F.lit(1)).cast("string"), F.lit("")))), ","), "array_to_string([q[i]::VARCHAR || '-' || coalesce(q[i + 1]::VARCHAR, '') for i in range(1, len(q) + 1)], ',')")
 over_lists("collections_flatten", lambda: _text(C.flatten(F.array("p", "q"))), "array_to_string(list_concat(p, q), ',')")
 over_lists("collections_frequencies_as_map", lambda: F.coalesce(C.frequencies_as_map("p")["3"], F.lit(0)).cast("long"), "len([x for x in p if x = 3])")
-over_lists("collections_split", lambda: F.size(C.split_column("p", F.lit(3).cast("long"))).cast("long"), "CASE WHEN len(p) = 0 THEN 1 ELSE (len([x for x in p if x < 3]) > 0)::BIGINT + (len([x for x in p if x > 3]) > 0)::BIGINT END")
+over_lists("collections_split", lambda: F.size(C.split_column("p", F.lit(3).cast("long"))).cast("long"), "CASE WHEN len(p) = 0 THEN 1 WHEN NOT list_contains(p, 3) THEN 1 ELSE (len([x for x in p if x < 3]) > 0)::BIGINT + (len([x for x in p if x > 3]) > 0)::BIGINT END")
 over_lists("collections_partition", lambda: F.array_join(F.transform(C.partition_column("q", 2), lambda x: F.size(x).cast("string")), ","), "array_to_string([least(2, len(q) - i) for i in range(0, len(q), 2)], ',')")
 over_lists("map_from_lists", lambda: F.size(maps.from_lists(F.transform("q", lambda x: x.cast("string")), F.transform("q", lambda x: x.cast("string")))).cast("long"), "len(list_distinct(q))")
 over_lists("map_merge", lambda: F.size(maps.merge(F.map_from_arrays(F.transform(F.array_distinct("p"), lambda x: x.cast("string")), F.transform(F.array_distinct("p"), lambda x: x.cast("string"))), F.expr("map('1', 'a', '99', 'b')"))).cast("long"), "len(list_distinct(list_concat(p, [1, 99])))")
@@ -347,8 +347,8 @@ over("text_format", "nation", "n_nationkey", lambda: text.format_("{1}/{0}", [F.
 over("util_module_md5", "documents", "doc_id", lambda: text.md5(F.col("text")), "md5(text)")
 over("uuid_generator_get", "nation", "n_nationkey", lambda: F.length(text.uuid()), "36")
 over("date_parse", "orders", "o_orderkey", lambda: dates.parse(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "s"), "epoch(o_orderdate)::BIGINT")
-over("date_format", "orders", "o_orderkey", lambda: dates.format_(F.unix_seconds("o_orderdate"), "s", "%Y-%m-%d"), "strftime(o_orderdate, '%Y-%m-%d')")
-over("date_add", "orders", "o_orderkey", lambda: dates.add(F.unix_seconds("o_orderdate"), "s", 2, "d"), "epoch(o_orderdate)::BIGINT + 172800")
+over("date_format", "orders", "o_orderkey", lambda: dates.format_(F.unix_seconds(F.col("o_orderdate").cast("timestamp")), "s", "%Y-%m-%d"), "strftime(o_orderdate, '%Y-%m-%d')")
+over("date_add", "orders", "o_orderkey", lambda: dates.add(F.unix_seconds(F.col("o_orderdate").cast("timestamp")), "s", 2, "d"), "epoch(o_orderdate)::BIGINT + 172800")
 over("date_convert_format", "orders", "o_orderkey", lambda: dates.convert_format(F.date_format("o_orderdate", "yyyy-MM-dd"), "iso_date", "basic_iso_date"), "strftime(o_orderdate, '%Y%m%d')")
 over("temporal_format", "orders", "o_orderkey", lambda: dates.temporal_format(F.col("o_orderdate"), "%d.%m.%Y"), "strftime(o_orderdate, '%d.%m.%Y')")
 over("json_util_to_json", "nation", "n_nationkey", lambda: documents.to_json(F.struct("n_nationkey", "n_name")), "'{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}'")

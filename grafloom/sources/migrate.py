@@ -196,9 +196,7 @@ def duckdb_(spark: SparkSession, query: str, setup_queries: list[str] | None = N
     db = duckdb.connect()
     for q in setup_queries or []:
         db.execute(q)
-    found = db.execute(query).arrow()
-    table = found.read_all() if hasattr(found, "read_all") else found
-    return plain(spark.createDataFrame(table))
+    return plain(spark.createDataFrame(db.sql(query).to_arrow_table()))
 
 
 @register("migrate.servicenow", kind="batch")
