@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..plans.lineage import written
+from ..plans.lineage import co_located, written
 from ..registry import register
 
 
@@ -25,8 +25,8 @@ def _ranks(g: PropertyGraph, edges: DataFrame, rounds: int, damping: float, eps:
     n = g.V.count()
     base = g.V.select("id").withColumn("restart", F.lit(1.0 / n if n else 0.0)) if restart is None else g.V.select("id").join(restart, "id", "left").fillna(0.0, ["restart"])
     now = written(base.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0)).withColumn("was", F.lit(None).cast("double")), "rank")
-    edges = written(edges.select("src", "dst", "share"), "shares")
-    senders = written(edges.select(F.col("src").alias("id")).distinct(), "senders")
+    edges = co_located(written(edges.select("src", "dst", "share"), "shares"), "src")
+    senders = written(edges.select(F.col("src").alias("id")).distinct(), "senders") if redistribute else None
     for _ in range(rounds):
         moved = edges.join(now.select("id", "rank"), edges["src"] == now["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = now.join(senders, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if redistribute else 0.0
@@ -37,6 +37,7 @@ def _ranks(g: PropertyGraph, edges: DataFrame, rounds: int, damping: float, eps:
             moved_by = now.agg(change).first()[0]
             if moved_by is None or (moved_by < n * eps if l1 else moved_by <= eps):
                 break
+    edges.unpersist()
     return now.select(F.col("id").alias("node"), "rank")
 
 

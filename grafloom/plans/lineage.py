@@ -29,3 +29,14 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def co_located(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key once and kept so, for loops that join it on key round after round; unpersist() it after.
+
+    A lost executor's part is dealt out again from df, which should be a written table.
+    """
+    from pyspark import StorageLevel
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)

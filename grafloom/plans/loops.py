@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import written
+from .lineage import co_located, written
 
 
 def components(v: DataFrame, e: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -14,7 +14,7 @@ def components(v: DataFrame, e: DataFrame, max_rounds: int = 200) -> DataFrame:
     Labels of neighbours are taken by partial aggregates, and every second step
     follows labels to their labels, so that long paths need few rounds.
     """
-    both = written(e.select("src", "dst").union(e.select("dst", "src")).filter("src <> dst").distinct(), "links")
+    both = co_located(written(e.select("src", "dst").union(e.select("dst", "src")).filter("src <> dst").distinct(), "links"), "dst")
     now = written(v.select("id").distinct().withColumn("component", F.col("id")), "labels")
     for _ in range(max_rounds):
         offers = both.join(now, both["dst"] == now["id"]).groupBy("src").agg(F.min("component").alias("offer"))
@@ -26,12 +26,13 @@ def components(v: DataFrame, e: DataFrame, max_rounds: int = 200) -> DataFrame:
         now = nxt.select("id", "component")
         if nxt.filter("old <> component").isEmpty():
             break
+    both.unpersist()
     return now
 
 
 def levels(e: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep_seeds: bool = True) -> DataFrame:
     """(id, depth): breadth-first distance from seeds (id) over edges (src, dst); without keep_seeds a seed counts only if reached again."""
-    links = written(e.select("src", "dst").distinct(), "links")
+    links = co_located(written(e.select("src", "dst").distinct(), "links"), "src")
     front = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "level")
     seen = front if keep_seeds else front.limit(0)
     depth = 0
@@ -40,6 +41,7 @@ def levels(e: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep_se
         reached = links.join(front, links["src"] == front["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
         front = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
         seen = written(seen.union(front), "seen")
+    links.unpersist()
     return seen
 
 
@@ -48,7 +50,7 @@ def relax(e: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
     Bellman-Ford over a frontier of what improved; of equal paths the least in order stays.
     """
-    links = written(e.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "links")
+    links = co_located(written(e.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "links"), "src")
     start = seeds.select("source", "id", F.lit(0.0).alias("distance"), F.array("id").alias("path"))
     best, front = written(start, "best"), written(start, "front")
     for _ in range(max_rounds):
@@ -57,8 +59,9 @@ def relax(e: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
         old = best.select("source", "id", F.col("distance").alias("was"))
         front = written(offer.join(old, ["source", "id"], "left").filter("was is null or distance < was").drop("was"), "front")
         if front.isEmpty():
-            return best
+            break
         best = written(best.join(front, ["source", "id"], "left_anti").union(front), "best")
+    links.unpersist()
     return best
 
 
