@@ -160,8 +160,8 @@ def neo4j_(spark: SparkSession, label_or_rel_or_query: str, config: dict, config
     return _bolt(spark, label_or_rel_or_query, config, config_path, params, 7687)
 
 
-@register("migrate.memgraph", kind="batch")
-def bolt_peer(spark: SparkSession, label_or_rel_or_query: str, config: dict, config_path: str = "", params: Any = None) -> DataFrame:
+@register("migrate.bolt", kind="batch")
+def bolt(spark: SparkSession, label_or_rel_or_query: str, config: dict, config_path: str = "", params: Any = None) -> DataFrame:
     return _bolt(spark, label_or_rel_or_query, config, config_path, params, 7687)
 
 
