@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import classifier, decontaminate, langid, neardup, packing, pii, repeats, rules, secrets, warc
 from .hashed import fold
+from .store import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,3 +21,13 @@ def written(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd")
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have fewer rows than the usual 10,000, as a row is a whole text; a session's own setting stays.
+
+    A batch is held by the JVM outside its heap, while it is copied, and by Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
