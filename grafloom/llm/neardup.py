@@ -8,9 +8,10 @@ stops once its next arrival is later than every register's.  Documents that
 agree on a band of registers meet, and the Jaccard similarity of their whole
 shingle sets decides whether they are linked.  A class is what links connect.
 
-Exact copies are folded first.  Members of a band's group are compared with
-leaders, never all with all; rounds with other leaders follow, among what isn't
-yet connected, until a round links nothing new.
+Exact copies are folded first.  Members of a band's group are then compared with
+leaders, in rounds, which connects most of what is alike cheaply.  Whatever of a
+group isn't connected after that is compared all with all, in blocks: every two
+documents that share a band are connected in the end, or were compared.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 SALTS = 32
 FEW = 200_000  # rows, of some 24 bytes, that one task takes
-IDLE = 3
+BLOCK = 256  # documents of a group on one side of a task
+COLUMNS = 4096
+FEW_PAIRS = 2000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -158,6 +161,89 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("la", "lb", "left", "right").mapInArrow(run, "la long, lb long")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each of x has in common with each of y; values are distinct within each."""
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(both):
+        return out
+    sides = []
+    for lists in (x, y):
+        flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = np.flatnonzero(both[at] == flat)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[hit], owner[hit], len(lists)))
+    for c in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - c)
+        dense = []
+        for at, owner, n in sides:
+            a, b = np.searchsorted(at, [c, c + width])
+            m = np.zeros((n, width), np.float32)
+            m[owner[a:b], at[a:b] - c] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def compared(table: pa.Table, threshold: float) -> pa.Table:
+    """Links (la, lb) between two blocks of a group, or within one: key, side, label, keys, grams.
+
+    Two documents that share several groups are compared in that of the least key.
+    """
+    key = table["key"][0].as_py()
+    side, label = table["side"].to_numpy(), table["label"].to_numpy()
+    grams = [np.frombuffer(g.as_buffer(), "<u4") for g in table["grams"]]
+    lower = [np.array([k for k in ks if k < key], np.int64) for ks in table["keys"].to_pylist()]
+    size = np.array([len(g) for g in grams])
+    x, y = np.flatnonzero(~side), np.flatnonzero(side)
+    one = not len(y)
+    y = x if one else y
+    small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
+    ask = (label[x][:, None] != label[y]) & (small > 0) & (small >= threshold * large)
+    if one:
+        ask &= np.triu(np.ones(ask.shape, bool), 1)
+    if ask.any():
+        ask &= common([lower[i] for i in x], [lower[i] for i in y]) == 0
+    rows, columns = np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
+    x, y, ask = x[rows], y[columns], ask[np.ix_(rows, columns)]
+    i, j = np.nonzero(ask)
+    if len(i) > FEW_PAIRS:
+        n = common([grams[a] for a in x], [grams[a] for a in y])[i, j]
+    else:
+        n = np.array([len(np.intersect1d(grams[x[a]], grams[y[b]], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    found = n >= threshold * (size[x][i] + size[y][j] - n)
+    links = np.unique(np.stack([label[x][i][found], label[y][j][found]], 1), axis=0)
+    return pa.table({"la": pa.array(links[:, 0], pa.int64()), "lb": pa.array(links[:, 1], pa.int64())})
+
+
+def remaining_links(spark: SparkSession, groups: DataFrame, sets: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
+    """Links (la, lb) between any two members of a group that have different labels.
+
+    groups: key, doc_id, label.  Groups of the same members are taken once, those
+    of two not at all, as leaders settle them.  A group is cut into blocks, of one
+    label where that has so many members, and each two blocks go to a task unless
+    they are of one label.
+    """
+    each = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.min("doc_id").alias("least"))
+    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"), F.bit_xor("mark").alias("mark"), F.min("least").alias("least"), F.sum(F.when(F.col("n") < size, F.col("n"))).alias("mixed"))
+    sizes = sizes.filter("labels > 1 and members > 2").groupBy("members", "mark", "least").agg(F.min(F.struct("key", "mixed")).alias("g")).select("g.*")
+    sizes = written(spark, sizes, "stalled")
+    rows = groups.join(sizes, "key").join(each.select("key", "label", "n"), ["key", "label"])
+    own = F.col("n") >= size
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("mixed")) / size))
+    block = F.struct(own.alias("own"), F.when(own, F.col("label")).otherwise(0).alias("label"), part.alias("part"))
+    rows = written(spark, rows.select("key", "doc_id", "label", block.alias("block")), "stalled")
+    blocks = written(spark, rows.select("key", "block").distinct(), "blocks")
+    two = blocks.select("key", F.col("block").alias("one")).join(blocks.select("key", F.col("block").alias("two")), "key")
+    two = two.filter((F.col("one") <= F.col("two")) & ~(F.col("one.own") & F.col("two.own") & (F.col("one.label") == F.col("two.label"))))
+    sides = two.withColumn("block", F.explode(F.array_distinct(F.array("one", "two")))).withColumn("side", F.col("block") != F.col("one"))
+    keys = written(spark, rows.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "keys")
+    facts = sets.join(keys, "doc_id")
+    laid = rows.join(sides, ["key", "block"]).select("key", "one", "two", "side", "doc_id", "label").join(facts, "doc_id")
+    return laid.groupBy("key", "one", "two").applyInArrow(lambda t: compared(t, threshold), "la long, lb long").distinct()
+
+
 def leader_pairs(groups: DataFrame, rnd: int, salts: int = SALTS) -> DataFrame:
     """Pairs (a, b) of each member and a leader of its group, with their labels la and lb.
 
@@ -211,35 +297,44 @@ def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold:
     """(doc_id, label: the least doc_id it is connected to by verified links) of the documents in groups.
 
     A round's links join labels.  The next one works on groups that still hold
-    several labels, with one member for each label in a group, drawn anew for
-    each group.  A group in which that joins nothing is left after as many
-    rounds as it has labels to compare, IDLE at most: its members meet others in
-    other bands.  Few rows are dealt with in one task, without exchanges.
+    several labels, with one member for each label in a group.  A group in which
+    that joins nothing is left to remaining_links, as is what max_rounds leaves.
+    Few rows are dealt with in one task, without exchanges.
     """
     named = written(spark, groups.select("doc_id", "label").distinct(), "members")
     sets = shingle_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     sets = written(spark, sets, "sets", "none")
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
-    groups, salts = groups.withColumn("labels", F.lit(0)).withColumn("idle", F.lit(0)), SALTS
+    every = groups.select("key", "doc_id")
+    groups, salts = groups.withColumn("labels", F.lit(0)), SALTS
     for rnd in range(max_rounds):
         pairs = written(spark, leader_pairs(groups, rnd, salts), "pairs")
         links = written(spark, similar(right.join(left.join(pairs, "a"), "b"), threshold), "links")
-        merged = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        merged = written(spark, merged.select(F.col("id").alias("label"), "component"), "merged")
-        relabel = lambda df: df.join(merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")  # noqa: B023, E731
-        named = written(spark, _few(relabel(named), named.count()), "members")
-        one_each = relabel(groups).groupBy("key", "label").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("doc_id"), F.max("labels").alias("before"), F.max("idle").alias("idle"))
+        merged = _merged(spark, links)
+        named = written(spark, _few(_relabelled(named, merged), named.count()), "members")
+        one_each = _relabelled(groups, merged).groupBy("key", "label").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("doc_id"), F.max("labels").alias("before"))
         one_each = written(spark, one_each, "labels")
-        counted = one_each.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("labels"), F.max("before").alias("before"), F.max("idle").alias("idle"))
-        counted = counted.withColumn("idle", F.when(F.col("labels") == F.col("before"), F.col("idle") + 1).otherwise(0)).filter((F.col("labels") > 1) & (F.col("idle") < F.least(F.col("labels") - 1, F.lit(IDLE))))
-        groups = one_each.select("key", "doc_id", "label").join(counted.select("key", "labels", "idle"), "key")
+        counted = one_each.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("labels"), F.max("before").alias("before"))
+        counted = counted.filter((F.col("labels") > 1) & (F.col("labels") != F.col("before")))
+        groups = one_each.select("key", "doc_id", "label").join(counted.select("key", "labels"), "key")
         groups = written(spark, groups, "groups")
         left_over = groups.count()
         if not left_over:
             break
         groups, salts = (groups.coalesce(1), 1) if left_over <= FEW else (groups, SALTS)
-    return named
+    groups = written(spark, every.join(named, "doc_id"), "groups")
+    links = written(spark, remaining_links(spark, groups, sets, threshold), "links")
+    return written(spark, _relabelled(named, _merged(spark, links)), "members")
+
+
+def _merged(spark: SparkSession, links: DataFrame) -> DataFrame:
+    merged = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return written(spark, merged.select(F.col("id").alias("label"), "component"), "merged")
+
+
+def _relabelled(df: DataFrame, merged: DataFrame) -> DataFrame:
+    return df.join(merged, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:

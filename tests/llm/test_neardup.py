@@ -107,3 +107,24 @@ def test_nothing(spark):
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in queries.op3_minhash_near_dedup(spark, sf_dir).collect()} == brute(docs)
+
+
+def family(seed, n, words, edits, planted):
+    """Copies of one text that differ from it in edits words each; then planted further copies of some, one more word off."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    off = lambda own, k, tag: [f"{tag}{i}" if i in k else x for i, x in enumerate(own)]
+    spread = lambda: {s * (words // edits) + rng.randrange(8, words // edits - 8) for s in range(edits)}
+    docs = [off(base, spread(), f"x{d}y") for d in range(n)]
+    docs += [off(docs[d], {rng.randrange(words)}, f"z{d}y") for d in rng.sample(range(n), planted)]
+    rng.shuffle(docs)
+    return list(enumerate(map(" ".join, docs)))
+
+
+def test_crowded_groups_are_compared_whole(spark):
+    """Mutual similarity mostly just under the threshold: hundreds share their bands and only planted pairs are links."""
+    rows = family(7, 300, 330, 5, 40)
+    want = brute(rows)
+    assert len(set(want.values())) >= 200
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
