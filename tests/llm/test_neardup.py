@@ -128,3 +128,15 @@ def test_crowded_groups_are_compared_whole(spark):
     assert len(set(want.values())) >= 200
     docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
+
+
+def test_copies_of_one_member_of_a_large_class(spark):
+    """Second-generation copies reach the threshold with the member they were made from only; more members than a block."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    off = lambda own, k, tag: [f"{tag}{i}" if i in k else x for i, x in enumerate(own)]
+    docs = [off(base, {rng.randrange(5, 295)}, f"x{d}y") for d in range(600)]
+    docs += [off(docs[d], {s * 50 + rng.randrange(10, 40) for s in range(6)}, f"z{d}y") for d in rng.sample(range(600), 60)]
+    rng.shuffle(docs)
+    docs = spark.createDataFrame([(i, " ".join(d), "", 0) for i, d in enumerate(docs)], DOCS).repartition(4)
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
