@@ -99,7 +99,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 WEIGHTS = {"binary": lambda n: np.ones(len(n)), "count": lambda n: n.astype(float), "log": lambda n: 1 + np.log(n)}
 
 
-def sketch(docs: DataFrame, weighting: str = "log", size: int = SHINGLE) -> DataFrame:
+def sketch(docs: DataFrame, weighting: str = "binary", size: int = SHINGLE) -> DataFrame:
     """For each row of docs (doc_id, text): k1, k2 (hash of its word sequence; null without words) and bands."""
     weigh = WEIGHTS[weighting]
 
@@ -268,12 +268,13 @@ def leader_pairs(groups: DataFrame, rnd: int, salts: int = SALTS) -> DataFrame:
     return both.select(F.col("one.doc_id").alias("a"), F.col("two.doc_id").alias("b"), F.col("one.label").alias("la"), F.col("two.label").alias("lb")).distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "log", max_rounds: int = 50) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "binary", max_rounds: int = 50) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text, ...): class_id is the least doc_id of its class.
 
     Equal word sequences are one class; so are documents linked by a Jaccard
     similarity of threshold or more of their shingle sets, directly or through
-    others.  A row without words is a class of its own, as is one without id
+    others.  Weights other than binary ones let candidates depend on repeats, which
+    the similarity doesn't count.  A row without words is a class of its own, as is one without id
     (whose class_id is null).  Rows of one id that repeat come back each.  An
     empty table gives an empty result.
     """
@@ -341,7 +342,7 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(1) if rows <= FEW else df
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "log") -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "binary") -> DataFrame:
     """docs with one row of each class: that of the least doc_id; rows without words or id all stay.
 
     Only the ids that go are joined with docs.

@@ -140,3 +140,14 @@ def test_copies_of_one_member_of_a_large_class(spark):
     rng.shuffle(docs)
     docs = spark.createDataFrame([(i, " ".join(d), "", 0) for i, d in enumerate(docs)], DOCS).repartition(4)
     assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+
+
+def test_copies_that_repeat_passages(spark):
+    """A passage that one copy repeats doesn't keep the pair apart."""
+    rng = random.Random(13)
+    rows = []
+    for p in range(40):
+        own = [f"p{p}w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * p, " ".join(own)), (2 * p + 1, " ".join(own + own[60:90] * 1000))]
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
