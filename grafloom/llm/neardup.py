@@ -300,7 +300,7 @@ def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold:
     A round's links join labels.  The next one works on groups that still hold
     several labels, with one member for each label in a group.  A group in which
     that joins nothing is left to remaining_links, as is what max_rounds leaves.
-    Few rows are dealt with in one task, without exchanges.
+    How many rows there are decides only in how many tasks they are dealt with.
     """
     named = written(spark, groups.select("doc_id", "label").distinct(), "members")
     sets = shingle_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -308,9 +308,9 @@ def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold:
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
     every = groups.select("key", "doc_id")
-    groups, salts = groups.withColumn("labels", F.lit(0)), SALTS
+    groups = groups.withColumn("labels", F.lit(0))
     for rnd in range(max_rounds):
-        pairs = written(spark, leader_pairs(groups, rnd, salts), "pairs")
+        pairs = written(spark, leader_pairs(groups, rnd), "pairs")
         links = written(spark, similar(right.join(left.join(pairs, "a"), "b"), threshold), "links")
         merged = _merged(spark, links)
         named = written(spark, _few(_relabelled(named, merged), named.count()), "members")
@@ -323,7 +323,7 @@ def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold:
         left_over = groups.count()
         if not left_over:
             break
-        groups, salts = (groups.coalesce(1), 1) if left_over <= FEW else (groups, SALTS)
+        groups = _few(groups, left_over)
     groups = written(spark, every.join(named, "doc_id"), "groups")
     links = written(spark, remaining_links(spark, groups, sets, threshold), "links")
     return written(spark, _relabelled(named, _merged(spark, links)), "members")

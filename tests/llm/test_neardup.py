@@ -151,3 +151,12 @@ def test_copies_that_repeat_passages(spark):
         rows += [(2 * p, " ".join(own)), (2 * p + 1, " ".join(own + own[60:90] * 1000))]
     docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize(("few", "max_rounds"), [(0, 50), (200_000, 1)])
+def test_classes_do_not_depend_on_size_or_rounds(spark, monkeypatch, few, max_rounds):
+    """Many rows elsewhere (few), or rounds that end early, leave no pair uncompared."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rows = family(17, 150, 330, 5, 40)
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs, max_rounds=max_rounds).collect()} == brute(rows)
