@@ -5,13 +5,13 @@ also start elsewhere.  Equal windows hold the same least-hashed k-gram at the
 same place, so the windows of a text fall into runs by that k-gram (the run's
 key), and only runs of one key can share windows:
 
-* runs that are equal as a whole are found by counting hashes;
+* runs that are equal as a whole are found by counting 128-bit digests;
 * runs of a key that differ go, as bytes, to one task, where suffix order, the
   longest-common-prefix array and the previous and next smaller positions give
   each window's longest previous factor (and, reversed, its longest next one);
 * the runs of a key with very many different runs are cut into blocks of
   windows, whose common part is their key, and those go the same way; in the
-  last resort blocks are single windows, for which counting is all.
+  last resort blocks are single windows, for which counting digests is all.
 
 Counts are summed before they are shuffled and hot keys are only met in joins
 that Spark may split.  Texts aren't shuffled: rows are known by file and row
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import new_path, written
-from .textbatch import _U, POWERS, flat, mix, prefix, slices, spans_hash
+from .textbatch import _U, POWERS, digests, flat, mix, prefix, slices, spans_hash
 
 NEED, GRAM = 400, 64
 BLOCK = 32  # windows of a block
 CROWD = 128  # different runs of a key that one task takes
 ROWS_A_FOLDER = 1 << 17
 ORDER_BYTES = 1 << 20  # of text in one suffix order
-UNITS = "key long, unit long, doc_id long, f long, r long, lo long, hi long, at long"
+UNITS = "key long, unit long, mark long, doc_id long, f long, r long, lo long, hi long, at long"
 
 
 # ---- longest previous factors -------------------------------------------------
@@ -140,21 +140,23 @@ def gram_hashes(pre: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offs: np.ndarray, need: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(key, unit, row, lo, hi, at) of each run: windows lo..hi of its row, whose k-gram is at at; places are in data."""
+    """(key, unit, mark, row, lo, hi, at) of each run: windows lo..hi of its row, whose k-gram is at at; places are in data.
+
+    unit and mark are the digest of the run's bytes.
+    """
     if len(data) < need:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    pre = prefix(data)
-    h = gram_hashes(pre, gram)
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    h = gram_hashes(prefix(data), gram)
     place = least_places(h, need - gram + 1)
     start = np.arange(len(place))
     row = np.searchsorted(offs, start, "right") - 1
     inside = start + need <= offs[row + 1]
     start, place, row = start[inside], place[inside], row[inside]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
     lo, hi = start[first], np.append(start[first[1:] - 1], start[-1])
-    return h[place[first]].view(np.int64), spans_hash(pre, lo, hi + need).view(np.int64), row[first], lo, hi, place[first]
+    return h[place[first]].view(np.int64), *digests(data, lo, hi + need).T, row[first], lo, hi, place[first]
 
 
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -169,9 +171,9 @@ def run_table(docs: DataFrame, need: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, f, r = (np.asarray(batch.column(c)) for c in ("rank_", "f", "r"))
             for part in slices(batch.column("text"), 1 << 20):
-                key, unit, row, lo, hi, at = runs(part.data, part.offs, need, gram)
+                key, unit, mark, row, lo, hi, at = runs(part.data, part.offs, need, gram)
                 base, row = part.offs[row], row + part.first
-                yield _batch([key, unit, ids[row], f[row], r[row], lo - base, hi - base, at - base], _UNITS)
+                yield _batch([key, unit, mark, ids[row], f[row], r[row], lo - base, hi - base, at - base], _UNITS)
 
     return docs.select("rank_", "f", "r", "text").mapInArrow(work, UNITS)
 
@@ -237,12 +239,12 @@ def block_table(docs: DataFrame, asked: str, need: int, size: int) -> DataFrame:
                 own = np.repeat(np.arange(len(lo)), n)
                 k = np.repeat(first, n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 a, b = np.maximum(lo[own], at[own] + k * size), np.minimum(hi[own], at[own] + k * size + size - 1)
-                pre = prefix(data)
                 start = at[own] + k * size  # of a whole block; at a run's ends a block may have fewer windows, but the same key
-                key = mix(spans_hash(pre, start + size - 1, start + need) + mix((k + need).astype(_U)))
-                unit = mix(spans_hash(pre, a, b + need) + mix(((a - start) * size + b - a).astype(_U)))
+                key = mix(spans_hash(data, start + size - 1, start + need) + mix((k + need).astype(_U)))
+                unit, mark = digests(data, a, b + need).T
+                unit = unit ^ mix(((a - start) * size + b - a).astype(_U)).view(np.int64)  # where in the block it lies
                 same = np.full(len(a), 1, np.int64)
-                yield _batch([key.view(np.int64), unit.view(np.int64), name * same, f * same, r * same, a, b, at[own]], _UNITS)
+                yield _batch([key.view(np.int64), unit, mark, name * same, f * same, r * same, a, b, at[own]], _UNITS)
 
     return docs.select("rank_", "f", "r", "text").mapInArrow(work, UNITS)
 
@@ -313,15 +315,15 @@ def _settle(spark: SparkSession, units: DataFrame, keep: str) -> tuple[DataFrame
     """(f, r, lo, hi) of units that repeat as a whole, and one row of each different unit of keys that have several: with crowd, their number."""
     place = ["doc_id", "f", "r", "lo", "hi", "at"]
     if keep == "first":
-        grouped = units.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("s")).select("key", "unit", "n", "s.*")
+        grouped = units.groupBy("key", "unit", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("s")).select("key", "unit", "mark", "n", "s.*")
     else:
-        grouped = units.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in place])
+        grouped = units.groupBy("key", "unit", "mark").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in place])
     # Written, so that first() is settled once and joins have plain exchanges on both sides.
     grouped = written(spark, grouped, "units")
     several = written(spark, grouped.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "several")
     mixed = grouped.join(several, "key").select("key", *place, "crowd")
-    twice = grouped.filter("n > 1").select("key", "unit", *[F.col(c).alias(f"first_{c}") for c in ("f", "r", "lo")])
-    whole = units.join(twice, ["key", "unit"])
+    twice = grouped.filter("n > 1").select("key", "unit", "mark", *[F.col(c).alias(f"first_{c}") for c in ("f", "r", "lo")])
+    whole = units.join(twice, ["key", "unit", "mark"])
     if keep == "first":
         whole = whole.filter((F.col("f") != F.col("first_f")) | (F.col("r") != F.col("first_r")) | (F.col("lo") != F.col("first_lo")))
     return whole.select("f", "r", "lo", "hi"), written(spark, mixed, "mixed")
@@ -346,8 +348,9 @@ def remove_repeats(docs: DataFrame, need: int = NEED, gram: int = GRAM, keep: st
     A byte goes if a string of need bytes over it also starts elsewhere in the
     corpus, the same text included: earlier (keep "first"; order is by doc_id,
     then place), or anywhere (keep "none").  Strings are judged on the input.
-    Matches never cross rows.  A null text is empty; repeated rows are copies of
-    each other; other columns stay, those with clashing names are replaced; an
+    Matches never cross rows.  A null text is empty; a very long one is held
+    whole by one task, some 60 bytes for each of its own; repeated rows are
+    copies of each other; other columns stay, those with clashing names are replaced; an
     empty table gives an empty result.
     """
     if keep not in ("first", "none") or not 8 <= gram <= need:

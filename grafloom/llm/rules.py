@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashed import Rows, Spec, batches_of, rows_of, sample, sigmoid, totals, units
-from .textbatch import _U, Slice, Words, code_points, mix, prefix, slices, spans_hash, windows, words
+from .textbatch import Slice, Words, code_points, same_bytes, slices, spans_hash, windows, words
 
 SPEC = Spec(chars=(2, 3), words=(1, 2), bits=17)
 # What counts as a symbol, and the limits of the base rules.
@@ -30,36 +30,67 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def _repeats(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether each (row, hash) occurs twice or more."""
-    key = mix(h ^ mix(row.astype(_U) + _U(0x51ED)))
-    order = np.argsort(key)
-    k = key[order]
-    same = k[1:] == k[:-1]
-    out = np.zeros(len(key), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+class Exact:
+    """Groups of equal byte spans: hashes find them and bytes confirm them.
 
+    Spans whose hashes agree though their bytes differ are numbered by their
+    bytes instead, all of them.
+    """
 
-def _later(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether an earlier entry has the same (row, hash)."""
-    key = mix(h ^ mix(row.astype(_U) + _U(0x51ED)))
-    order = np.argsort(key, kind="stable")
-    out = np.zeros(len(key), bool)
-    out[order[1:][key[order][1:] == key[order][:-1]]] = True
-    return out
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        self.order = np.argsort(h, kind="stable")
+        k = h[self.order]
+        same = np.concatenate([[False], k[1:] == k[:-1]])
+        a, b = self.order[:-1][same[1:]], self.order[1:][same[1:]]
+        size = end - start
+        if (size[a] == size[b]).all() and same_bytes(data, start[a], start[b], size[b]):
+            self.number = np.zeros(len(h), np.int64)
+            self.number[self.order] = np.cumsum(~same)
+        else:
+            seen: dict[bytes, int] = {}
+            self.number = np.array([seen.setdefault(data[i:j].tobytes(), len(seen)) for i, j in zip(start, end, strict=True)], np.int64)
+
+
+def _equal_before(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earlier, later) entries of one row and number, next to each other in order."""
+    order = np.lexsort((number, row))
+    same = np.flatnonzero((number[order][1:] == number[order][:-1]) & (row[order][1:] == row[order][:-1]))
+    return order[same], order[same + 1]
+
+
+def repeated_windows(data: np.ndarray, w: Words, size: int) -> np.ndarray:
+    """First words of the windows of size words that occur twice or more in their row."""
+    h, at = windows(w, size)
+    row = w.row()
+    a, b = _equal_before(row[at], h.view(np.int64))
+    a, b = at[a], at[b]
+    if not len(a):
+        return a
+    used = np.zeros(len(row) + 1, np.int64)
+    for x in (a, b):
+        np.add.at(used, x, 1)
+        np.add.at(used, x + size, -1)
+    used = np.flatnonzero(np.cumsum(used)[:-1] > 0)
+    number = np.full(len(row), -1, np.int64)
+    number[used] = Exact(data, w.start[used], w.end[used], w.hash[used]).number
+    if any((number[a + j] != number[b + j]).any() for j in range(size)):
+        # Windows whose hashes agree though their words differ: all are numbered by their words.
+        number = Exact(data, w.start, w.end, w.hash).number
+        seen: dict[tuple, int] = {}
+        each = np.array([seen.setdefault(tuple(number[i : i + size].tolist()), len(seen)) for i in at], np.int64)
+        a, b = _equal_before(row[at], each)
+        a, b = at[a], at[b]
+    return np.unique(np.concatenate([a, b]))
 
 
 def statistics(part: Slice, w: Words | None = None) -> list[np.ndarray]:
-    """For each row the columns of STATS."""
+    """For each row the columns of STATS; lines and windows are equal where their bytes are, not their hashes alone."""
     w = words(part) if w is None else w
     data, n, row = part.data, part.last - part.first, w.row()
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[part.offs])
     points = np.concatenate([[0], np.cumsum(code_points(data))])
     word_chars = np.bincount(row, points[w.end] - points[w.start], n).astype(np.int64)
-    h, at = windows(w, WINDOW)
-    twice = at[_repeats(row[at], h)]
+    twice = repeated_windows(data, w, WINDOW)
     cover = np.zeros(len(row) + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + WINDOW, -1)
@@ -73,7 +104,8 @@ def statistics(part: Slice, w: Words | None = None) -> list[np.ndarray]:
     owner = np.searchsorted(part.offs, start, "right") - 1
     has_word = np.searchsorted(w.start, start) < np.searchsorted(w.start, end)
     start, end, owner = start[has_word], end[has_word], owner[has_word]
-    dup = np.bincount(owner, _later(owner, spans_hash(prefix(data), start, end)), n).astype(np.int64)
+    _, later = _equal_before(owner, Exact(data, start, end, spans_hash(data, start, end)).number)
+    dup = np.bincount(owner[later], minlength=n).astype(np.int64)
     return [np.diff(w.of), word_chars, count(_SYMBOL[data]), dup, repeat]
 
 
@@ -139,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 5000, spec: Spec = SPEC) -> DataFrame:
     """docs with the base statistics, base_failed, probability (of label 1) and kept.
 
-    A null or empty text has no words and fails the base rules.  All rows come
-    back once each; columns of these names are replaced; an empty table gives an
-    empty result.
+    A null or empty text has no words and fails the base rules.  A very long
+    text is looked at whole, at some 100 bytes of memory for each of its own.
+    Of one id's labels that differ the least counts.  All rows come back once
+    each; columns of these names are replaced; an empty table gives an empty
+    result.
     """
     model = fit(docs, labels, max_rows=max_rows, spec=spec)
     weights = model.weights.astype(np.float32)

@@ -1,11 +1,15 @@
 """Texts of an Arrow batch as flat byte arrays, and vectorised words and hashes on them.
 
-All hashes are polynomial over bytes modulo 2**64 (prefix sums give every
-substring's hash) and then mixed, so they are the same on every machine.
+Prefix sums of a polynomial over bytes give every substring's hash, the same on
+every machine.  Spans (words, lines) are hashed modulo the prime 2**31 - 1 with
+two bases.  Hashes modulo 2**64, which are equal for some different strings
+(Thue-Morse words) whatever the base, serve n-grams of bounded length only.
+Where equality decides a result exactly, bytes or digests() settle it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,6 +20,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+_PRIME = _U((1 << 31) - 1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -91,9 +96,69 @@ def prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = POWERS.to(len(pre))
-    return mix((pre[end] - pre[start]) * down[start])
+class PrimePowers:
+    """Powers of two bases and of their inverses modulo the prime, grown on demand."""
+
+    bases = (0x2545F491, 0x5851F42D)
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def to(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.tables or len(self.tables[0][0]) < n:
+            size = max(n, SLICE_BYTES + (64 << 10))
+            self.tables = [(_prime_powers(b, size), _prime_powers(pow(b, -1, int(_PRIME)), size)) for b in self.bases]
+        return self.tables
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out, filled, step = np.ones(n, _U), 1, base
+    while filled < n:
+        m = min(filled, n - filled)
+        out[filled : filled + m] = out[:m] * _U(step) % _PRIME
+        filled, step = filled + m, step * step % int(_PRIME)
+    return out
+
+
+PRIME_POWERS = PrimePowers()
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime itself for 0, for any 64-bit x."""
+    x = (x & _PRIME) + (x >> _U(31))
+    return (x & _PRIME) + (x >> _U(31))
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[s:e] for each start and end."""
+    out = np.zeros(len(start), _U)
+    for up, down in PRIME_POWERS.to(len(data) + 1):
+        terms = (data.astype(_U) + _U(1)) * up[: len(data)]
+        if len(data) > 1 << 24:  # where sums of 40-bit terms might pass 64 bits
+            terms = _folded(terms)
+        pre = np.zeros(len(data) + 1, _U)
+        np.cumsum(terms, out=pre[1:])
+        h = _folded(_folded(_folded(pre[end] - pre[start]) % _PRIME * down[start])) % _PRIME
+        out = (out << _U(31)) + h
+    return mix(out)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit cryptographic digests of data[s:e], as two columns of int64."""
+    view = memoryview(np.ascontiguousarray(data))
+    made = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> bool:
+    """Whether data[x:x+size] equals data[y:y+size] for every entry."""
+    step = 1 << 16  # entries laid out at once
+    for i in range(0, len(x), step):
+        n = size[i : i + step]
+        run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(x[i : i + step], n) + run] != data[np.repeat(y[i : i + step], n) + run]).any():
+            return False
+    return True
 
 
 class Words(NamedTuple):
@@ -119,7 +184,7 @@ def words(part: Slice, data: np.ndarray | None = None) -> Words:
     before[1:] = inside[: n - 1] if n else False
     start = np.flatnonzero(inside[:n] & (~before | edge[:n]))
     end = np.flatnonzero(inside[:n] & (~inside[1:] | edge[1:])) + 1
-    return Words(start, end, spans_hash(prefix(data), start, end), np.searchsorted(start, part.offs))
+    return Words(start, end, spans_hash(data, start, end), np.searchsorted(start, part.offs))
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from grafloom.llm import queries, repeats
+from tests.llm.thue_morse import thue_morse
 
 DOCS = "doc_id long, text string, spans string, f int"
 
@@ -100,3 +101,24 @@ def test_query(spark, sf_dir):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     got = sorted(queries.op2_suffix_array_dedup(spark, sf_dir).collect())
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(rows, 400, "none")
+
+
+@pytest.mark.parametrize("keep", ["first", "none"])
+@pytest.mark.parametrize("crowd", [128, 1])
+def test_different_strings_of_one_hash_are_not_equal(spark, monkeypatch, keep, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "BLOCK", 8)
+    x, y = thue_morse(11)
+    a, b = thue_morse(6, "a" * 32, "b" * 32)
+    rows = list(enumerate([x, y, "q" + x, a, b, a + "q", "z" * 5000 + x, x + y]))
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS).repartition(3)
+    got = sorted(repeats.remove_repeats(docs, need=2048, gram=64, keep=keep).collect(), key=lambda r: r.doc_id)
+    assert summary(got) == brute(rows, 2048, keep)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(0, long), (1, long[1000:1300]), (2, "x" * 200 + long[5000:5100])]
+    got = sorted(repeats.remove_repeats(spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS), need=64, gram=16, keep="none").collect(), key=lambda r: r.doc_id)
+    assert summary(got) == brute(rows, 64, "none")

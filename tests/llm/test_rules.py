@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from grafloom.llm import rules
-from grafloom.llm.textbatch import slices
+from grafloom.llm import queries, rules
+from grafloom.llm.textbatch import slices, words
+from tests.llm.thue_morse import thue_morse
 
 DOCS = "doc_id long, text string, kept string, n_words int"
 
@@ -62,3 +63,42 @@ def test_without_labels_or_rows(spark):
     docs, none = spark.createDataFrame([(1, "a " * 30, "", 0)], DOCS), spark.createDataFrame([], "doc_id long, quality int")
     assert [r.base_failed for r in rules.judge(docs, none).collect()] == [True]
     assert rules.judge(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_different_strings_of_one_hash_are_not_equal(monkeypatch):
+    x, y = thue_morse(11)
+    texts = [f"{x}\n{y}\n{x}", f"{x} {y} " * 9, f"{x} {x} {y} {x} {y} {y} {x} " * 3]
+    one = next(slices(pa.array(texts)))
+    assert len(set(words(next(slices(pa.array([f"{x} {y}"])))).hash.tolist())) == 2
+    assert [[int(v) for v in row] for row in np.stack(rules.statistics(one), 1)] == [brute(t) for t in texts]
+    # Even hashes that are all alike change nothing: bytes decide.
+    monkeypatch.setattr(rules, "spans_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    some = [t for t in some_texts(9) if t]
+    part = next(slices(pa.array(some)))
+    w = words(part)
+    w = w._replace(hash=w.hash % np.uint64(3))
+    assert [[int(v) for v in row] for row in np.stack(rules.statistics(part, w), 1)] == [brute(t) for t in some]
+
+
+def test_very_long_text_and_labels_that_differ(spark):
+    long = "word " * 400_000 + "\n" + "tail " * 30
+    rows = [(i, f"good text number {i} " * 8, "", 0) for i in range(60)] + [(99, long, "", 0)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(60)], "doc_id long, quality int")
+    out = [{r.doc_id: r.probability for r in rules.judge(spark.createDataFrame(rows, DOCS).repartition(n), labels.repartition(n)).collect()} for n in (2, 5)]
+    assert out[0] == out[1]
+    got = next(r for r in rules.judge(spark.createDataFrame(rows[-1:], DOCS), labels).collect())
+    assert [got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words] == brute(long) and got.base_failed
+
+
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.op5_quality_rules(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == base
+        assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
+        assert r.kept == (not r.base_failed and r.probability >= 0.3)
+    judged = [(r.kept, truth[r.doc_id]) for r in rows if truth.get(r.doc_id) is not None and not r.base_failed]
+    assert np.mean([k == (q == 1) for k, q in judged]) > 0.9
