@@ -94,8 +94,10 @@ def classify(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None,
     """docs with score (of label 1) and predicted (1 from threshold on).
 
     labels: (doc_id, quality); learn: the documents to learn from, docs unless
-    given.  All rows of docs come back once each, repeated ones too; columns of
-    these two names are replaced.  An empty table gives an empty result.
+    given; of an id's labels that differ the least counts.  All rows of docs come
+    back once each, repeated ones too; a very long text is looked at whole;
+    columns of these two names are replaced.  An empty table gives an empty
+    result.
     """
     model = fit(docs if learn is None else learn, labels, max_rows=max_rows)
     return score(docs.drop("score", "predicted"), model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbatch import _U, POWERS, Slice, Words, code_points, mix, prefix, slices, windows, words
@@ -153,14 +153,29 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sample(docs: DataFrame, wanted: DataFrame, label: str, limit: int) -> tuple[pa.Array, list]:
-    """Texts and labels of at most limit rows of wanted (doc_id, label), those whose ids hash lowest.
+#: Bytes of text that a sample holds at most, beside its rows' limit.
+SAMPLE_BYTES = 64 << 20
 
-    The one place where rows are collected; limit bounds them.
+
+def sample(docs: DataFrame, wanted: DataFrame, label: str, limit: int, per_label: bool = False, most_bytes: int = SAMPLE_BYTES) -> tuple[pa.Array, list]:
+    """Texts and labels of at most limit rows of wanted (doc_id, label) and most_bytes of text, those whose ids hash lowest.
+
+    The one place where rows are collected; limit and most_bytes bound them.  Of
+    an id's labels that differ the least counts; of an id's texts all may be
+    taken.  The order is total, so that every run takes the same rows.  With
+    per_label each label has an equal share of limit, so that a rare one is there
+    (of more labels than limit, those of the most ids).
     """
-    few = wanted.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label_")).dropDuplicates(["doc_id"])
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "label_").toArrow()
+    few = wanted.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label_")).withColumn("order_", F.xxhash64("doc_id"))
+    if per_label:
+        labels = few.groupBy("label_").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_").limit(limit).collect()
+        share = max(1, limit // max(1, len(labels)))
+        ranked = few.withColumn("rank_", F.row_number().over(Window.partitionBy("label_").orderBy("order_", "doc_id")))
+        few = ranked.filter(F.col("rank_") <= share).drop("rank_")
+    few = few.orderBy("order_", "doc_id").limit(limit)
+    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("order_", "doc_id", "text").limit(limit)
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("order_", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = got.withColumn("held_", held).filter(F.col("held_") <= most_bytes).select("doc_id", "text", "label_").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     return (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), got.column("label_").to_pylist()

@@ -71,8 +71,8 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", max_rows: int = 3000, spec: Spec = SPEC) -> Model:
-    """Learn from at most max_rows rows of labels (doc_id, lang) and those documents' whole texts."""
-    texts, named = sample(docs, labels, label, max_rows)
+    """Learn from at most max_rows rows of labels (doc_id, lang), as many of each language, and those documents' whole texts."""
+    texts, named = sample(docs, labels, label, max_rows, per_label=True)
     langs = sorted(set(named)) or [UNKNOWN]
     y = np.array([langs.index(x) for x in named], int)
     size = 1 << spec.bits
@@ -123,8 +123,9 @@ def predict(docs: DataFrame, model: Model, spec: Spec = SPEC) -> DataFrame:
 def identify(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, max_rows: int = 3000) -> DataFrame:
     """docs with lang_pred and score, learned from labels (doc_id, lang) and the texts of learn (docs unless given).
 
-    Rows with a null id or label teach nothing; all rows of docs come back once
-    each; an empty table gives an empty result.
+    Rows with a null id or label teach nothing; of an id's labels that differ
+    the least counts; a very long text is looked at whole.  All rows of docs come
+    back once each; an empty table gives an empty result.
     """
     return predict(docs, fit(docs if learn is None else learn, labels, max_rows=max_rows))
 

@@ -57,3 +57,37 @@ def test_query_learns_from_its_folds_alone(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def auc(pairs):
+    up, down = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down])
+
+
+def test_query_ranks_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    rows = [r for r in queries.op4_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    assert auc([(r.score, truth[r.doc_id]) for r in rows]) > 0.95
+    assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.9
+
+
+def test_sample_is_bounded_and_the_same_each_time(spark):
+    from grafloom.llm.hashed import sample
+
+    docs = spark.createDataFrame([(7, f"text {i}", "", "") for i in range(500)] + [(i, f"own {i}", "", "") for i in range(20)], DOCS)
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1)] + [(i, i % 2) for i in range(20) if i != 7], "doc_id long, quality int")
+    one, two = (sample(docs.repartition(n), labels.repartition(n), "quality", 5) for n in (2, 6))
+    assert one[0].equals(two[0]) and one[1] == two[1] and len(one[1]) == 5
+    texts, y = sample(docs, labels.filter("doc_id = 7"), "quality", 5000)
+    assert len(texts) == 501 and set(y) == {0}
+    assert len(sample(docs, labels, "quality", 5000, most_bytes=30)[1]) <= 6
+    assert sample(docs, spark.createDataFrame([(i, "rare" if i == 3 else "often") for i in range(20)], "doc_id long, lang string"), "lang", 4, per_label=True)[1].count("rare") == 1
+
+
+def test_very_long_text(spark):
+    rows = [(i, t, "", "") for i, t in enumerate(texts(60, 8))] + [(99, "abc def!! " * 300_000, "", "")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in classifier.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    short = {r.doc_id: r.score for r in classifier.classify(spark.createDataFrame([*rows[:-1], (99, "abc def!! " * 3, "", "")], DOCS), labels).collect()}
+    assert abs(got[99] - short[99]) < 1e-4

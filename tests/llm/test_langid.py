@@ -54,3 +54,19 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(truth)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in rows if r.held_out]) > 0.9
+
+
+def test_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [r for r in queries.op10_language_id(spark, sf).collect() if r.held_out and truth[r.doc_id] is not None]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.97
+    assert {r.lang_pred for r in rows} >= {x for x in truth.values() if x}
+
+
+def test_rare_language_and_very_long_text(spark):
+    rows = [(i, t, "xa" if lang == "xb" else lang, s) for i, t, lang, s in docs_of(900, 3) if lang != "xb"]
+    rows += [(5000 + i, "fgh ijk uof " * 9, "xb", 0.0) for i in range(2)] + [(9999, "kif hgo " * 200_000, None, 0.0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs, docs.select("doc_id", "lang"), max_rows=60).collect()}
+    assert out[5000] == out[9999] == "xb"
