@@ -16,6 +16,7 @@ documents that share a band are connected in the end, or were compared.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import written
+from .store import scratch, written
 from .textbatch import _U, Slice, Words, mix, slices, windows, words
 
 SHINGLE = 5
@@ -100,7 +101,7 @@ WEIGHTS = {"binary": lambda n: np.ones(len(n)), "count": lambda n: n.astype(floa
 
 
 def sketch(docs: DataFrame, weighting: str = "binary", size: int = SHINGLE) -> DataFrame:
-    """For each row of docs (doc_id, text): k1, k2 (hash of its word sequence; null without words) and bands."""
+    """For each row of docs (doc_id, text): k1, k2 (128-bit digest of its word sequence; null without words) and bands."""
     weigh = WEIGHTS[weighting]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +110,10 @@ def sketch(docs: DataFrame, weighting: str = "binary", size: int = SHINGLE) -> D
             for part in slices(batch.column("text")):
                 element, times, of, w = shingles(part, size)
                 bands = band_keys(signatures(element, weigh(times), of)).view(np.int64)
-                place = np.arange(len(w.hash)) - np.repeat(w.of[:-1], np.diff(w.of))
-                keys = []
-                for salt in (0x1234567, 0x89ABCDEF):
-                    c = np.zeros(len(w.hash) + 1, _U)
-                    np.cumsum(mix(w.hash + mix(place.astype(_U) + _U(salt))), out=c[1:])
-                    keys.append(mix(c[w.of[1:]] - c[w.of[:-1]]).view(np.int64))
+                rows = zip(part.offs[:-1].tolist(), part.offs[1:].tolist(), strict=True)
+                own = b"".join(hashlib.blake2b(b" ".join(part.data[a:b].tobytes().split()), digest_size=16).digest() for a, b in rows)
                 none = np.diff(of) == 0
-                k1, k2 = (pa.array(k, mask=none) for k in keys)
+                k1, k2 = (pa.array(k, mask=none) for k in np.frombuffer(own, np.int64).reshape(-1, 2).T)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([names.slice(part.first, part.last - part.first), k1, k2, lists], names=["doc_id", "k1", "k2", "bands"])
 
@@ -245,7 +242,7 @@ def remaining_links(spark: SparkSession, groups: DataFrame, sets: DataFrame, thr
 
 
 def leader_pairs(groups: DataFrame, rnd: int, salts: int = SALTS) -> DataFrame:
-    """Pairs (a, b) of each member and a leader of its group, with their labels la and lb.
+    """Pairs (a, b) of each member and a leader of its group, with their labels la and lb; once for each group.
 
     groups: key, doc_id, and label of what a document is connected to already.
     With salts, a group is split, each part has a leader of its own, and those
@@ -265,7 +262,21 @@ def leader_pairs(groups: DataFrame, rnd: int, salts: int = SALTS) -> DataFrame:
     swap = F.col("lead.doc_id") > F.col("m.doc_id")
     one, two = F.when(swap, F.col("m")).otherwise(F.col("lead")), F.when(swap, F.col("lead")).otherwise(F.col("m"))
     both = both.select(one.alias("one"), two.alias("two"))
-    return both.select(F.col("one.doc_id").alias("a"), F.col("two.doc_id").alias("b"), F.col("one.label").alias("la"), F.col("two.label").alias("lb")).distinct()
+    return both.select(F.col("one.doc_id").alias("a"), F.col("two.doc_id").alias("b"), F.col("one.label").alias("la"), F.col("two.label").alias("lb"))
+
+
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs (one for each band shared) each later member's with the leader that it meets in most bands."""
+    met = pairs.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("b").agg(F.max_by(F.struct("a", "la", "lb"), F.struct("n", -F.col("a"))).alias("m")).select("m.a", "b", "m.la", "m.lb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (la, lb) of pairs; only sets that pairs name are dealt out."""
+    asked = lambda c: sets.join(pairs.select(F.col(c).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    left = asked("a").select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
+    right = asked("b").select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
+    return similar(right.join(left.join(pairs, "a"), "b"), threshold)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "binary", max_rounds: int = 50) -> DataFrame:
@@ -275,43 +286,51 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "bin
     similarity of threshold or more of their shingle sets, directly or through
     others.  Weights other than binary ones let candidates depend on repeats, which
     the similarity doesn't count.  A row without words is a class of its own, as is one without id
-    (whose class_id is null).  Rows of one id that repeat come back each.  An
-    empty table gives an empty result.
+    (whose class_id is null).  Rows of one id that repeat come back each; what
+    different texts of one id are linked to is one class.  A very long text is
+    held whole by one task, some 100 bytes for each of its own.  An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = written(spark, sketch(docs, weighting), "sketches")
-    known = sketches.filter(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
-    firsts = written(spark, known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "firsts")
-    kept = known.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = kept.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    groups = written(spark, keyed.join(written(spark, shared, "keys"), "key", "left_semi").withColumn("label", F.col("doc_id")), "groups")
-    near = _linked(spark, docs, groups, threshold, max_rounds)
-    # Every row's class: that of the first of its word sequence.
-    of_first = firsts.join(near, firsts["first"] == near["doc_id"], "left").select("k1", "k2", F.coalesce("label", "first").alias("class_id"))
-    of_first = written(spark, of_first, "classes")
-    return sketches.select("doc_id", "k1", "k2").join(of_first, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    with scratch(spark):
+        sketches = written(spark, sketch(docs, weighting), "sketches")
+        known = sketches.filter(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
+        firsts = written(spark, known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "firsts")
+        kept = known.join(firsts.select("k1", "k2", F.col("first").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
+        keyed = kept.select("doc_id", F.explode("bands").alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
+        keyed = keyed.join(written(spark, shared, "keys"), "key", "left_semi").distinct()
+        groups = written(spark, keyed.withColumn("label", F.col("doc_id")), "groups")
+        near = _linked(spark, docs, groups, threshold, max_rounds)
+        # Every row's class: that of the first of its word sequence.
+        of_first = firsts.join(near, firsts["first"] == near["doc_id"], "left").select("k1", "k2", F.coalesce("label", "first").alias("class_id"))
+        of_first = written(spark, of_first, "classes")
+        found = sketches.select("doc_id", "k1", "k2").join(of_first, ["k1", "k2"], "left")
+        found = found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+        return written(spark, found, "near-duplicates", lasting=True)
 
 
 def _linked(spark: SparkSession, docs: DataFrame, groups: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
     """(doc_id, label: the least doc_id it is connected to by verified links) of the documents in groups.
 
-    A round's links join labels.  The next one works on groups that still hold
+    A round's links join labels.  The first one compares each document with the
+    leader that it meets most often; later ones work on groups that still hold
     several labels, with one member for each label in a group.  A group in which
     that joins nothing is left to remaining_links, as is what max_rounds leaves.
     How many rows there are decides only in how many tasks they are dealt with.
     """
     named = written(spark, groups.select("doc_id", "label").distinct(), "members")
-    sets = shingle_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sets = written(spark, sets, "sets", "none")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
+    # A text that repeats under its id gives its set twice, and links that repeat.
+    sets = written(spark, shingle_sets(docs.join(named, "doc_id", "left_semi")), "sets", "none")
+    if sets.count() > named.count():
+        sets = written(spark, sets.distinct(), "sets", "none")
     every = groups.select("key", "doc_id")
     groups = groups.withColumn("labels", F.lit(0))
     for rnd in range(max_rounds):
-        pairs = written(spark, leader_pairs(groups, rnd), "pairs")
-        links = written(spark, similar(right.join(left.join(pairs, "a"), "b"), threshold), "links")
+        pairs = leader_pairs(groups, rnd)
+        pairs = written(spark, pairs.distinct() if rnd else first_pairs(pairs), "pairs")
+        links = written(spark, verified(pairs, sets, threshold), "links")
         merged = _merged(spark, links)
         named = written(spark, _few(_relabelled(named, merged), named.count()), "members")
         one_each = _relabelled(groups, merged).groupBy("key", "label").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("doc_id"), F.max("labels").alias("before"))
@@ -345,9 +364,16 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "binary") -> DataFrame:
     """docs with one row of each class: that of the least doc_id; rows without words or id all stay.
 
-    Only the ids that go are joined with docs.
+    Where an id repeats, its rows are one document: they stay or go together,
+    and of equal ones one stays.  Only the ids that go are joined with docs.
     """
     spark = docs.sparkSession
-    found = classes(docs, threshold, weighting)
-    lost = written(spark, found.filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct(), "lost")
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    with scratch(spark):
+        found = classes(docs, threshold, weighting)
+        lost = written(spark, found.filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct(), "lost", lasting=True)
+        again = written(spark, found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "again", lasting=True)
+    kept = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice)

@@ -3,22 +3,49 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import shared_dir
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def written(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end, but for lasting ones: nothing may read them later."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def new_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not lasting and (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
+
+
+def written(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd", lasting: bool = False) -> DataFrame:
     """Write df once and return it as read back: lineage is cut and a lost executor loses nothing.
 
     The reader prunes columns and knows the size, which checkpoint() doesn't.
     """
-    path = new_path(spark, label)
+    path = new_path(spark, label, lasting)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from grafloom.llm import neardup, queries
+from grafloom.llm import neardup, queries, store
 from grafloom.llm.components import connected_components
 from grafloom.llm.textbatch import slices
+from tests.llm.thue_morse import thue_morse
 
 DOCS = "doc_id long, text string, class_id string, k1 int"
 
@@ -160,3 +161,43 @@ def test_classes_do_not_depend_on_size_or_rounds(spark, monkeypatch, few, max_ro
     rows = family(17, 150, 330, 5, 40)
     docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
     assert {r.doc_id: r.class_id for r in neardup.classes(docs, max_rounds=max_rounds).collect()} == brute(rows)
+
+
+def test_pairs_on_one_template(spark):
+    """A thousand pairs on one template: within a pair the similarity is about 0.82, across pairs 0.71."""
+    rng = random.Random(19)
+    template = [f"t{i}" for i in range(360)]
+    fresh = lambda tag, n: [f"{tag}n{i}" for i in range(n)]
+    rows = []
+    for p in range(1000):
+        shared = fresh(f"p{p}", 30)
+        rows += [(2 * p + k, " ".join(template + shared + fresh(f"p{p}k{k}", 43))) for k in (0, 1)]
+    a, b, c = (grams(rows[i][1]) for i in (0, 1, 2))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.75 * len(a | c)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(4)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_different_texts_of_one_hash_are_not_copies(spark):
+    x, y = thue_morse(11)
+    rows = [(0, x), (1, y), (2, x + "\n"), (3, f"{x} {y}"), (4, f"{y} {x}")]
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
+def test_rows_that_repeat_and_a_very_long_text(spark):
+    rng = random.Random(23)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(150_000))
+    rows = [(1, long), (2, long + " more"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (4, "x y"), (4, "p q"), (None, "n"), (None, "n"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(*r, "", 0) for r in rows], DOCS).repartition(3)
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in neardup.classes(docs).collect())
+    assert got == sorted((str(i), str(1 if i == 2 else i)) for i, _ in rows)
+    kept = sorted(str((r.doc_id, (r.text or "")[:3])) for r in neardup.keep_first(docs).collect())
+    assert kept == sorted(str((i, (t or "")[:3])) for i, t in [(1, long), (3, "a b"), (4, "x y"), (4, "p q"), (None, "n"), (None, "n"), (9, None)])
+
+
+def test_nothing_but_the_result_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(*r, "", 0) for r in made(5, 3, 10)], DOCS)
+    assert neardup.classes(docs).count() and len(list(tmp_path.iterdir())) == 1
