@@ -5,8 +5,10 @@ The plan is made over the histogram of piece lengths, which has at most
 groups of equal sequences at a time.  A plan entry says that the pieces of one
 length whose ranks are first..first+count-1 lie, ``per`` to a sequence, from
 one offset of consecutive sequences.  Pieces then find their entry by a join on
-length and rank.  Nothing else is collected, and no piece is shuffled: ranks
-come from counts by (task, length).
+length and rank.  Nothing else is collected.  Ranks come from counts by (task,
+length): while those are small enough to be broadcast no piece is shuffled, and
+beyond that pieces are dealt out by (task, length), of which none has more than
+one task's.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 # The splitting rule of byte-level BPE; a fixed value that must equal the vocabulary's own.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,12 +43,29 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merges_by_rank(own: Tokenizer, spec: dict) -> bool:
+    """Whether merging by least id is what the file's merges say.
+
+    That holds where ids follow the merges' order and each token is what merging
+    its own bytes gives: two parts that form a token's bytes without being its
+    merge can then never stand side by side, as the same bytes alone would have
+    been merged alike.
+    """
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    ids = [vocab[a + b] for a, b in pairs]
+    plain = spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return plain and all(x < y for x, y in zip(ids, ids[1:], strict=False)) and all([t.id for t in own.model.tokenize(k)] == [i] for k, i in vocab.items())
+
+
 class Encoder:
     """Ids of the tokenizer file at path.
 
-    Where the vocabulary's ranks give the same ids in tiktoken, which takes a
-    quarter of the time, that is used; special tokens' strings go to the file's
-    own tokenizer.
+    tiktoken, which takes a quarter of the time, is used where it must give the
+    same ids: the file splits texts as byte-level BPE does by default, changes
+    nothing else, and merges_by_rank() holds.  That SPLIT splits every code point
+    so is tested.  Texts with special tokens' strings go to the file's own
+    tokenizer, as does everything for other files.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,16 +76,14 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = None
-        try:
+        split = spec.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+        if usual and merges_by_rank(self.own, spec):
             import tiktoken
 
             to_byte = _bytes_of()
             ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-            fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            if all(fast.encode_ordinary(t) == self._own(t) for t in PROBE):
-                self.fast = fast
-        except (ImportError, KeyError, ValueError):
-            self.fast = None
+            self.fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _own(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
@@ -72,6 +94,12 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each process."""
+    return Encoder(path)
+
+
 def piece_lengths(n: int, capacity: int) -> list[int]:
     """Only a longer document is cut: full pieces, the first of which may be shorter."""
     first = n % capacity
@@ -85,7 +113,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """One row per piece: ids (little-endian unsigned 32-bit), and its rank among its task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text")

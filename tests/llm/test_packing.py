@@ -87,3 +87,32 @@ def test_query_on_a_table(spark, sf_dir):
         assert r["ids_crc32"] == zlib.crc32(part.tobytes())
     lengths = [r["length"] for r in rows]
     assert len({r["sequence_id"] for r in rows}) == brute_best_fit(lengths, 2048)
+
+
+def test_fast_ids_are_the_file_s_over_all_code_points():
+    encode = packing.encoder(queries.tokenizer_path())
+    assert encode.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 1 << 14):
+        text = "".join(f"a{c}b {c}{c} 1{c}2 '{c} \n{c}  {c}\t" for c in map(chr, points[i : i + (1 << 14)]))
+        if not any(s in text for s in encode.special):
+            assert encode(text) == encode._own(text)
+
+
+def test_other_merges_go_to_the_file_s_own_tokenizer(tmp_path):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[50] = merges[50], merges[0]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.Encoder(str(path)).fast is None
+
+
+def test_very_long_text(spark):
+    path = queries.tokenizer_path()
+    rows = packing.pack(spark.createDataFrame([(1, "word and " * 200_000, 0, ""), (2, "b", 0, "")], DOCS), path).collect()
+    tok = Tokenizer.from_file(path)
+    check(rows, {1: "word and " * 200_000, 2: "b"}, 2048, lambda t: tok.encode(t, add_special_tokens=False).ids)
