@@ -181,6 +181,13 @@ def sample(docs: DataFrame, wanted: DataFrame, label: str, limit: int, per_label
     return (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), got.column("label_").to_pylist()
 
 
+def least_hashed(docs: DataFrame, limit: int, most_bytes: int = SAMPLE_BYTES // 4) -> list[str]:
+    """At most limit different texts of docs and most_bytes of them, those that hash lowest."""
+    few = docs.filter(F.octet_length("text") > 0).select("text", F.xxhash64("text").alias("order_")).orderBy("order_", "text").limit(limit)
+    few = few.distinct().withColumn("held_", F.sum(F.octet_length("text")).over(Window.orderBy("order_", "text")))
+    return sorted(r["text"] for r in few.filter(F.col("held_") <= most_bytes).select("text").toLocalIterator())
+
+
 def batches_of(rows: int, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
     order = rng.permutation(rows)
     for i in range(0, rows, size):

@@ -2,24 +2,29 @@
 
 High-recall generators propose spans, which may overlap, beside the base ones;
 gradient-boosted trees look at each one's format and context, and a threshold
-per kind, set on held-out rows for precision, selects what is added.  The trees
-are trained on lines made from a seed, in which it is known what is private.
+per kind, set on held-out ones for precision, selects what is added.  The trees
+learn from lines made from a seed, in which it is known what is private, and
+from a bounded sample of the documents' own candidates: one that is a base span
+is private, one that touches none isn't.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting
+from .hashed import least_hashed
 from .rules import calibrate
 
 KINDS = ("email", "ip", "card", "phone")
@@ -69,7 +74,7 @@ def base_spans(text: str) -> list[Span]:
         return out
     if "." in text:
         for m in _IP.finditer(text):
-            if m.group(1) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if m.group(1) and all(len(own := p.lstrip("0")) <= 3 and int(own or "0") <= 255 for p in m.group().split(".")):
                 out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() <= 40 and 16 <= len(d := only_digits(m.group())) <= 19 and luhn(d):
@@ -188,16 +193,26 @@ def made_lines(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     return out
 
 
-@lru_cache
-def fit(lines: int = 3000, seed: int = 13, precision: float = 0.98, floor: float = 0.9) -> Model:
-    """Trees from made lines; each kind's threshold is the least that keeps precision on held-out ones, floor at least."""
-    x, y, kinds = [], [], []
-    for text, spans in made_lines(lines, seed):
-        for c in candidates(text):
-            x.append(features(text, c))
-            y.append(float(c in spans))
-            kinds.append(c[0])
-    x, y, kinds = np.array(x), np.array(y), np.array(kinds)
+def learned(lines: int, seed: int, texts: Iterable[str]) -> list[tuple[str, Span, float]]:
+    """(text, candidate, whether it is private) of made lines and of texts."""
+    out = [(text, c, float(c in spans)) for text, spans in made_lines(lines, seed) for c in candidates(text)]
+    for text in texts:
+        base = base_spans(text)
+        apart = Apart(base)
+        out += [(text, c, float(c in base)) for c in candidates(text) if c in base or apart.clear(c)]
+    return out
+
+
+def fit(docs: DataFrame | None = None, lines: int = 3000, seed: int = 13, precision: float = 0.98, floor: float = 0.9, max_rows: int = 2000) -> Model:
+    """Trees from made lines and at most max_rows of docs (those with digits whose hash is lowest).
+
+    Each kind's threshold is the least that keeps precision on held-out
+    candidates, floor at least.
+    """
+    texts = [] if docs is None else least_hashed(docs.filter(F.col("text").rlike("[0-9]")), max_rows)
+    known = learned(lines, seed, texts)
+    x = np.array([features(text, c) for text, c, _ in known])
+    y, kinds = np.array([private for *_, private in known]), np.array([c[0] for _, c, _ in known])
     held = np.arange(len(y)) % 4 == 3
     trees = boosting.train(x[~held], y[~held])
     a, b = calibrate(trees.odds(x[held]), y[held])
@@ -211,17 +226,33 @@ def fit(lines: int = 3000, seed: int = 13, precision: float = 0.98, floor: float
     return Model(trees, tuple(thresholds))
 
 
+class Apart:
+    """Spans by place, to tell in logarithmic time whether another one touches any."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.places = sorted((s, e) for _, s, e in spans)
+        self.furthest = list(accumulate((e for _, e in self.places), max))
+
+    def clear(self, span: Span) -> bool:
+        before = bisect_left(self.places, (span[2],))
+        return not before or self.furthest[before - 1] <= span[1]
+
+
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     """Chosen candidates, likeliest first, that touch neither a base span nor one already chosen."""
-    found = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
+    apart = Apart(base)
+    found = [c for c in candidates(text) if apart.clear(c)]
     if not found:
         return []
     p = model.trees.probability(np.array([features(text, c) for c in found]))
     out: list[Span] = []
+    taken: list[tuple[int, int]] = []  # by place, without overlaps
     for i in np.argsort(-p, kind="stable"):
         c = found[i]
-        if p[i] >= model.thresholds[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in out):
+        at = bisect_left(taken, (c[2],))
+        if p[i] >= model.thresholds[c[0]] and (not at or taken[at - 1][1] <= c[1]):
             out.append(c)
+            insort(taken, (c[1], c[2]))
     return out
 
 
@@ -231,10 +262,11 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with pii: spans by kind, then start (code points, end exclusive), and whether each is a base one.
 
-    Null and empty texts have none; every row comes back once; a column pii is
-    replaced; an empty table gives an empty result.
+    The model is fitted on docs unless given.  Null and empty texts have none; a
+    very long text is searched whole, in linear time; every row comes back once; a
+    column pii is replaced; an empty table gives an empty result.
     """
-    model = model or fit()
+    model = model or fit(docs)
     docs = docs.drop("pii")
 
     def spans_of(text: str | None) -> list[dict]:
