@@ -96,7 +96,8 @@ def ownership(found: DataFrame, repo: str) -> DataFrame:
 def scan(docs: DataFrame, repo: str = "source", max_owners: int = MAX_OWNERS, keep_text: bool = True) -> DataFrame:
     """docs with secrets: an array of (start, kind, end, value, n_repos, n_owners, live), by start, then kind.
 
-    kind is KINDS' name.  Null and empty texts have none; a null repository is
+    kind is KINDS' name.  Null and empty texts have none; a very long text is
+    searched whole, with one pass for each kind; a null repository is
     one of its own; every row comes back once, repeated ones too; columns named
     secrets or row_ are replaced; an empty table gives an empty result.  Without
     keep_text the text isn't returned (nor written).
@@ -124,22 +125,32 @@ def scan(docs: DataFrame, repo: str = "source", max_owners: int = MAX_OWNERS, ke
     return none.unionByName(some)
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each of spans (by start), or what touching ones cover together, replaced by mark."""
+def redacted(text: Column, spans: Column, live: str = "[SECRET]", other: str = "[EXAMPLE]") -> Column:
+    """text with each of spans (by start), or what touching ones cover together, replaced: by live where one of them is live."""
+    shape = "array<struct<start:int,end:int,live:boolean>>"
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live"))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["live"] | s["live"]).alias("live"))
+        return F.when((F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(one)))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + F.lit(1), s["start"] - acc["at"])
-        apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        within = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] > acc["at"]) | ((s["start"] == 0) & (acc["at"] == 0)), apart).otherwise(within)
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.when(s["live"], live).otherwise(other)).alias("out"))
 
+    merged = F.aggregate(spans, F.expr(f"cast(array() as {shape})"), merge)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, F.aggregate(merged, start, step, rest)).otherwise(text)
 
 
 def remove(docs: DataFrame, repo: str = "source") -> DataFrame:
-    """docs with every reported secret replaced in text, and n_chars to match where docs has it."""
+    """docs with every reported secret replaced in text, and n_chars to match where docs has it.
+
+    Ownership decides by what: a live one becomes [SECRET], one that many owners
+    copied or that looks like a placeholder [EXAMPLE].
+    """
     out = scan(docs, repo).withColumn("text", redacted(F.col("text"), F.col("secrets")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
