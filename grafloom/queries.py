@@ -79,7 +79,6 @@ add("cugraph_pagerank_get", nations, lambda g: _r(g.call("cugraph.pagerank.get",
 SQL["cugraph_pagerank_get"] = _pagerank_sql(NATIONS, 12, "1", True, _UNIFORM, "SELECT id AS node, round(r, 10) AS pagerank FROM {last}")
 add("cugraph_personalized_pagerank_get", nations, lambda g: _r(g.call("cugraph.personalized_pagerank.get", [1, 5], [1.0, 3.0], max_iterations=12, stop_epsilon=0.0), "pagerank", places=10))
 SQL["cugraph_personalized_pagerank_get"] = _pagerank_sql(NATIONS, 12, "weight", True, "SELECT id, CASE id WHEN 1 THEN 0.25 WHEN 5 THEN 0.75 ELSE 0.0 END AS p FROM V", "SELECT id AS node, round(r, 10) AS pagerank FROM {last}")
-add("igraphalg_pagerank", flow, lambda g: _r(g.call("igraphalg.pagerank", weights="weight"), "rank", places=6))
 
 
 def _unrolled(views: str, first: str, step: str, rounds: int, final: str, extra: str = "") -> str:
@@ -89,7 +88,6 @@ def _unrolled(views: str, first: str, step: str, rounds: int, final: str, extra:
 
 add("cugraph_katz_centrality_get", nations, lambda g: _r(g.call("cugraph.katz_centrality.get", alpha=0.01, max_iterations=8, epsilon=0.0), "katz_centrality"))
 SQL["cugraph_katz_centrality_get"] = _unrolled(NATIONS, "SELECT id, 0.0::DOUBLE AS x FROM V", "SELECT V.id, 0.01 * coalesce(s, 0) + 1 AS x FROM V LEFT JOIN (SELECT dst, sum(x) AS s FROM E JOIN @ ON src = id GROUP BY dst) ON dst = V.id", 8, "SELECT id AS node, round(x, 9) AS katz_centrality FROM @")
-add("katz_centrality_get", geo, lambda g: _r(g.call("katz_centrality.get", alpha=0.2, epsilon=10.0), "rank"))
 add("cugraph_hits_get", nations, lambda g: _r(g.call("cugraph.hits.get", max_iterations=6, tolerance=0.0), "hubs", "authorities"))
 SQL["cugraph_hits_get"] = _unrolled(
     NATIONS, "SELECT id, 1.0 / (SELECT count(*) FROM V) AS h, 0.0::DOUBLE AS a FROM V",
@@ -98,8 +96,8 @@ SQL["cugraph_hits_get"] = _unrolled(
     "LEFT JOIN (SELECT src, sum(a3) AS h FROM E JOIN (SELECT dst AS d3, sum(h) / (SELECT sum(h) FROM E JOIN @ ON src = id) AS a3 FROM E JOIN @ ON src = id GROUP BY dst) ON dst = d3 GROUP BY src) y ON y.src = V.id",
     6, "SELECT id AS node, round(h, 9) AS hubs, round(a, 9) AS authorities FROM @",
 )
-for _n, _g in (("betweenness_centrality_get", nations), ("cugraph_betweenness_centrality_get", flow), ("nxalg_betweenness_centrality", nations)):
-    add(_n, _g, lambda g, n=_n: _r(g.call({"betweenness_centrality_get": "betweenness_centrality.get", "cugraph_betweenness_centrality_get": "cugraph.betweenness_centrality.get", "nxalg_betweenness_centrality": "nxalg.betweenness_centrality"}[n]), "betweenness" if n.startswith("nx") else "betweenness_centrality"))
+for _n, _call in (("betweenness_centrality_get", "betweenness_centrality.get"), ("nxalg_betweenness_centrality", "nxalg.betweenness_centrality")):
+    add(_n, nations, lambda g, n=_call: _r(g.call(n), "betweenness" if n.startswith("nx") else "betweenness_centrality"))
 # Unweighted shortest paths of at most two steps, as on any graph whose pairs are that near.
 _BC = """P AS (SELECT a.id AS s, b.id AS t FROM V a, V b WHERE a.id <> b.id AND NOT EXISTS (SELECT 1 FROM E WHERE src = a.id AND dst = b.id)),
 M AS (SELECT s, t, x.dst AS v FROM P JOIN E x ON x.src = s JOIN E y ON y.src = x.dst AND y.dst = t WHERE x.dst <> s AND x.dst <> t),
@@ -115,22 +113,9 @@ add("weakly_connected_components_get", geo, lambda g: g.call("weakly_connected_c
 add("bridges_get", geo, lambda g: g.call("bridges.get"), GEO, "SELECT src AS node_from, dst AS node_to FROM E")
 add("biconnected_components_get", geo, lambda g: g.call("biconnected_components.get").groupBy("bcc_id").agg(F.min("node_from").alias("node_from"), F.min("node_to").alias("node_to"), F.count(F.lit(1)).alias("n")).drop("bcc_id"), GEO, "SELECT src AS node_from, dst AS node_to, 1 AS n FROM E")
 add("nxalg_bridges", geo, lambda g: g.call("nxalg.bridges", root=1).select(F.get("bridges", F.lit(0)).alias("a"), F.get("bridges", F.lit(1)).alias("b")), GEO, f"{_ROOT} SELECT src AS a, dst AS b FROM E JOIN R ON R.id = src WHERE root = 1")
-add("bipartite_matching_max", trade, lambda g: g.call("bipartite_matching.max"))
 add("nxalg_is_bipartite", trade, lambda g: g.call("nxalg.is_bipartite"), TRADE, "SELECT true AS is_bipartite")
-add("cycles_get", flow, lambda g: g.call("cycles.get").groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("cycles")))
-add("nxalg_simple_cycles", flow, lambda g: g.call("nxalg.simple_cycles").groupBy(F.size("cycles").alias("n")).agg(F.count(F.lit(1)).alias("cycles")))
-add("nxalg_find_cycle", flow, lambda g: g.call("nxalg.find_cycle").select(F.size("cycle").alias("n")))
-add("nxalg_strongly_connected_components", geo, lambda g: g.call("nxalg.strongly_connected_components").select(F.get("components", F.lit(0)).alias("id"), F.size("components").alias("n")), GEO, "SELECT id, 1 AS n FROM V")
 add("nxalg_core_number", geo, lambda g: g.call("nxalg.core_number"), GEO, "SELECT id AS node, (id IN (SELECT src FROM E UNION SELECT dst FROM E))::BIGINT AS core FROM V")
-add("nxalg_find_cliques", nations, lambda g: g.call("nxalg.find_cliques").groupBy(F.size("cliques").alias("n")).agg(F.count(F.lit(1)).alias("cliques")))
-add("nxalg_chain_decomposition", flow, lambda g: g.call("nxalg.chain_decomposition").agg(F.count(F.lit(1)).alias("chains")))
-add("nxalg_k_clique_communities", nations, lambda g: g.call("nxalg.k_clique_communities", 3).select(F.size("communities").alias("n")))
-add("nxalg_k_edge_components", nations, lambda g: g.call("nxalg.k_edge_components", 2).select(F.size("components").alias("n")))
-add("nxalg_k_components", flow, lambda g: g.call("nxalg.k_components").select("k", F.size("components").alias("n")))
-add("nxalg_node_connectivity", flow, lambda g: g.call("nxalg.node_connectivity"))
 add("nxalg_biconnected_components", geo, lambda g: g.call("nxalg.biconnected_components").select(F.array_min("components").alias("a"), F.array_max("components").alias("b")), GEO, "SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM E")
-for _n in ("is_chordal", "is_at_free", "is_distance_regular", "is_strongly_regular", "local_efficiency", "triadic_census", "is_semieulerian"):
-    add(f"nxalg_{_n}", nations, lambda g, n=_n: g.call(f"nxalg.{n}"))
 add("nxalg_check_planarity", geo, lambda g: g.call("nxalg.check_planarity"), GEO, "SELECT true AS is_planar")
 add("nxalg_is_forest", geo, lambda g: g.call("nxalg.is_forest"), GEO, "SELECT true AS is_forest")
 add("nxalg_is_tree", geo, lambda g: g.call("nxalg.is_tree"), GEO, "SELECT false AS is_tree")
@@ -152,11 +137,6 @@ add("nxalg_node_boundary", nations, lambda g: g.call("nxalg.node_boundary", [0,
 add("nxalg_node_expansion", nations, lambda g: _r(g.call("nxalg.node_expansion", [0, 1, 2]), "node_expansion"), NATIONS, "SELECT round((SELECT count(DISTINCT dst) FROM E WHERE src IN (0, 1, 2) AND dst NOT IN (0, 1, 2)) / 3, 9) AS node_expansion")
 add("nxalg_is_edge_cover", geo, lambda g: g.call("nxalg.is_edge_cover", g.E.select("id")), GEO, "SELECT (SELECT count(*) FROM V WHERE id NOT IN (SELECT src FROM E UNION SELECT dst FROM E)) = 0 AS is_edge_cover")
 add("nxalg_is_isomorphic", nations, lambda g: g.call("nxalg.is_isomorphic", [0, 1, 2, 3], None, [0, 1, 2, 3], None), NATIONS, "SELECT true AS is_isomorphic")
-add("nxalg_communicability", flow, lambda g: g.call("nxalg.communicability").agg(F.count(F.lit(1)).alias("n")))
-add("nxalg_dominating_set", nations, lambda g: g.call("nxalg.dominating_set", 0))
-add("nxalg_immediate_dominators", nations, lambda g: g.call("nxalg.immediate_dominators", 0))
-add("nxalg_dominance_frontiers", nations, lambda g: g.call("nxalg.dominance_frontiers", 0).select("node", F.size("frontier").alias("n")))
-add("nxalg_maximal_matching", nations, lambda g: g.call("nxalg.maximal_matching").agg((F.count(F.lit(1)) > 0).alias("some")))
 add("nxalg_weakly_connected_components_subgraph", geo, lambda g: g.call("nxalg.weakly_connected_components_subgraph", g.V.filter("id < 1000").select("id"), None).select("n_components"), GEO, "SELECT (SELECT count(*) FROM region) AS n_components")
 
 # ---- distances and paths ------------------------------------------------------------
@@ -180,7 +160,6 @@ add("igraphalg_get_all_simple_paths", nations, lambda g: g.call("igraphalg.get_a
 add("nxalg_is_simple_path", nations, lambda g: g.call("nxalg.is_simple_path", [0, 1, 2]), NATIONS, "SELECT EXISTS (SELECT 1 FROM E WHERE src = 0 AND dst = 1) AND EXISTS (SELECT 1 FROM E WHERE src = 1 AND dst = 2) AS is_simple_path")
 add("nxalg_multi_source_dijkstra_path_length", geo, lambda g: g.call("nxalg.multi_source_dijkstra_path_length", [100, 101]), GEO, "SELECT id AS target, (id < 100)::INT::DOUBLE AS length FROM V WHERE id IN (100, 101) OR id IN (SELECT dst FROM E WHERE src IN (100, 101))")
 add("nxalg_multi_source_dijkstra_path", geo, lambda g: g.call("nxalg.multi_source_dijkstra_path", [100, 101]).select("target", F.size("path").alias("n")), GEO, "SELECT id AS target, (1 + (id < 100)::INT)::INT AS n FROM V WHERE id IN (100, 101) OR id IN (SELECT dst FROM E WHERE src IN (100, 101))")
-add("nxalg_voronoi_cells", geo, lambda g: g.call("nxalg.voronoi_cells", [100, 101]).select("center", F.size("cell").alias("n")))
 add("algo_astar", nations, lambda g: g.call("algo.astar", 0, 7, {"unweighted": True, "relationships_filter": [">"]}).select("weight"), NATIONS, f"{_DIST} SELECT 10.0 * d::DOUBLE AS weight FROM D WHERE s = 0 AND t = 7")
 add("algo_cover", geo, lambda g: g.E.join(g.call("algo.cover", g.V.filter("id < 1000").select("id")).withColumnRenamed("rel", "id"), "id").select("src", "dst"), GEO, "SELECT src, dst FROM E WHERE src < 1000 AND dst < 1000")
 add("graph_util_connect_nodes", nations, lambda g: g.call("graph_util.connect_nodes", [0, 1, 2, 3]).agg(F.count(F.lit(1)).alias("n")), NATIONS, "SELECT count(*) AS n FROM E WHERE src < 4 AND dst < 4")
@@ -192,26 +171,13 @@ add("graph_util_ancestors", geo, lambda g: g.call("graph_util.ancestors", 1), GE
 add("nxalg_ancestors", geo, lambda g: g.call("nxalg.ancestors", 1), GEO, f"{_ROOT} SELECT id AS ancestors FROM R WHERE root = 1 AND id <> 1")
 add("nxalg_descendants", geo, lambda g: g.call("nxalg.descendants", 105), GEO, "SELECT dst AS descendants FROM E WHERE src = 105")
 add("nxalg_lowest_common_ancestor", geo, lambda g: g.call("nxalg.lowest_common_ancestor", 0, 0), GEO, "SELECT 0::BIGINT AS ancestor")
-for _n, _c in (("graph_util_topological_sort", "sorted_nodes"), ("nxalg_topological_sort", "nodes"), ("igraphalg_topological_sort", "nodes")):
-    add(_n, geo, lambda g, n=_n, c=_c: g.call(n.replace("_", ".", 1) if not n.startswith("graph_util") else "graph_util.topological_sort").select(F.posexplode(c).alias("at", "node")).join(g.E, F.col("node") == F.col("src"), "left").groupBy().agg(F.count_distinct("node").alias("n")), GEO, "SELECT count(*) AS n FROM V")
 add("path_expand", geo, lambda g: g.call("path.expand", 0, ["<"], [], 1, 2).select(F.element_at("result.nodes", -1).alias("last"), F.size("result.rels").alias("n")), GEO, "SELECT src AS last, 1 AS n FROM E WHERE dst = 0 UNION ALL SELECT a.src, 2 FROM E a JOIN E b ON a.dst = b.src WHERE b.dst = 0")
 add("path_subgraph_nodes", geo, lambda g: g.call("path.subgraph_nodes", 0, {"labelFilter": ["-Customer"], "relationshipFilter": ["<"]}), GEO, f"{_ROOT} SELECT R.id AS nodes FROM R JOIN V USING (id) WHERE root = 0 AND label <> 'Customer'")
 add("path_subgraph_all", geo, lambda g: g.call("path.subgraph_all", 0, {"labelFilter": ["-Customer"], "relationshipFilter": ["<"]}).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), GEO, f"{_ROOT}, S AS (SELECT R.id FROM R JOIN V USING (id) WHERE root = 0 AND label <> 'Customer') SELECT 'node' AS kind, count(*) AS n FROM S UNION ALL SELECT 'rel', count(*) FROM E WHERE src IN (SELECT id FROM S) AND dst IN (SELECT id FROM S)")
-for _n in ("bfs_predecessors", "bfs_edges", "bfs_successors", "bfs_tree", "dfs_tree", "dfs_preorder_nodes", "dfs_postorder_nodes", "dfs_predecessors", "dfs_successors", "edge_bfs", "edge_dfs"):
-    _col = {"bfs_tree": "tree", "dfs_tree": "tree", "dfs_preorder_nodes": "nodes", "dfs_postorder_nodes": "nodes", "edge_bfs": "edges", "edge_dfs": "edges"}.get(_n)
-    add(f"nxalg_{_n}", nations, lambda g, n=_n, c=_col: g.call(f"nxalg.{n}", 0).select(F.explode(c).alias("x")).agg(F.count(F.lit(1)).alias("n")) if c else g.call(f"nxalg.{n}", 0).agg(F.count(F.lit(1)).alias("n")))
-    if _n in ("bfs_tree", "dfs_tree", "dfs_preorder_nodes", "dfs_postorder_nodes"):
-        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) AS n FROM D WHERE s = 0"
-    elif _n in ("bfs_predecessors", "bfs_edges", "dfs_predecessors"):
-        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) - 1 AS n FROM D WHERE s = 0"
-    elif _n in ("edge_bfs", "edge_dfs"):
-        SQL[f"nxalg_{_n}"] = f"WITH RECURSIVE {NATIONS}, {_DIST} SELECT count(*) AS n FROM E JOIN D ON t = src WHERE s = 0"
+for _n in ("bfs_tree", "dfs_tree"):
+    add(f"nxalg_{_n}", nations, lambda g, n=_n: g.call(f"nxalg.{n}", 0).select(F.explode("tree").alias("x")).agg(F.count(F.lit(1)).alias("n")), NATIONS, f"{_DIST} SELECT count(*) AS n FROM D WHERE s = 0")
 add("nxalg_minimum_spanning_tree", nations, lambda g: g.call("nxalg.minimum_spanning_tree").select(F.size("nodes").alias("nodes"), F.size("edges").alias("edges")), NATIONS, "SELECT count(*)::INT AS nodes, (count(*) - 1)::INT AS edges FROM V")
 add("igraphalg_spanning_tree", geo, lambda g: g.call("igraphalg.spanning_tree").select(F.get("tree", F.lit(0)).alias("a"), F.get("tree", F.lit(1)).alias("b")), GEO, "SELECT src AS a, dst AS b FROM E")
-add("max_flow_get_flow", nations, lambda g: _r(g.call("max_flow.get_flow", 0, 7), "max_flow"))
-add("igraphalg_maxflow", nations, lambda g: g.call("igraphalg.maxflow", 0, 7))
-add("max_flow_get_paths", nations, lambda g: _r(g.call("max_flow.get_paths", 0, 7).agg(F.sum("flow").alias("total")), "total"))
-add("igraphalg_mincut", nations, lambda g: g.call("igraphalg.mincut", 0, 7, "weight"))
 add("union_find_connected", geo, lambda g: g.call("union_find.connected", [G.CUSTOMER + 1, 100], [G.SUPPLIER + 1, 0]), GEO, f"{_ROOT} SELECT a.id AS node1, b.id AS node2, a.root = b.root AS connected FROM R a, R b WHERE (a.id = 2000000001 AND b.id = 1000000001) OR (a.id = 100 AND b.id = 0)")
 
 # ---- similarity, neighbours, communities ----------------------------------------------
@@ -236,14 +202,8 @@ add("kmeans_get_clusters", vectors, lambda g: g.call("kmeans.get_clusters", 5).a
 add("nxalg_jaccard_coefficient", geo, lambda g: _r(g.call("nxalg.jaccard_coefficient", [(100, 101), (0, 1)]), "coef"))
 SQL["nxalg_jaccard_coefficient"] = f"""WITH {GEO}, L AS (SELECT src, dst FROM E UNION SELECT dst, src FROM E), P(u, v) AS (VALUES (100::BIGINT, 101::BIGINT), (0, 1))
 SELECT u, v, round(coalesce((SELECT count(*) FROM L a JOIN L b ON a.dst = b.dst WHERE a.src = u AND b.src = v)::DOUBLE / nullif((SELECT count(DISTINCT dst) FROM L WHERE src IN (u, v)), 0), 0), 9) AS coef FROM P"""
-for _n in ("community_detection_get", "leiden_community_detection_get", "cugraph_louvain_get", "cugraph_leiden_get", "igraphalg_community_leiden"):
-    add(_n, nations, lambda g, n=_n: g.call({"igraphalg_community_leiden": "igraphalg.community_leiden", "cugraph_louvain_get": "cugraph.louvain.get", "cugraph_leiden_get": "cugraph.leiden.get"}.get(n, n.removesuffix("_get") + ".get")).select("node"), NATIONS, "SELECT id AS node FROM V WHERE id IN (SELECT src FROM E UNION SELECT dst FROM E)")
-for _n in ("graph_coloring.color_graph", "nxalg.greedy_color"):
-    add(_n.replace(".", "_"), nations, lambda g, n=_n: g.call(n).select("node"), NATIONS, "SELECT id AS node FROM V")
 add("graph_coloring_conflicts", nations, lambda g: (lambda c: g.E.join(c.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").filter("a = b").agg(F.count(F.lit(1)).alias("conflicts")))(g.call("graph_coloring.color_graph")), NATIONS, "SELECT 0 AS conflicts")
 add("cugraph_generator_rmat", nations, lambda g: g.call("cugraph.generator.rmat", scale=10, num_edges=5000).agg(F.count(F.lit(1)).alias("n"), (F.max(F.greatest("source", "target")) < 1024).alias("within")), NATIONS, "SELECT 5000 AS n, true AS within")
-for _n in ("balanced_cut_clustering", "spectral_clustering"):
-    add(f"cugraph_{_n}_get", nations, lambda g, n=_n: g.call(f"cugraph.{n}.get", 3).agg(F.count(F.lit(1)).alias("n")))
 
 # ---- nodes, metadata, edits ------------------------------------------------------------
 
@@ -281,8 +241,6 @@ add("refactor_invert", geo, lambda g: g.call("refactor.invert", g.E.filter("type
 add("refactor_rename_label", geo, lambda g: g.call("refactor.rename_label", "Nation", "Country").V.select(F.explode("labels").alias("label")).groupBy("label").count(), GEO, "SELECT CASE label WHEN 'Nation' THEN 'Country' ELSE label END AS label, count(*) AS count FROM V GROUP BY 1")
 add("refactor_rename_type", geo, lambda g: g.call("refactor.rename_type", "IN_REGION", "PART_OF").E.groupBy("type").count(), GEO, "SELECT CASE type WHEN 'IN_REGION' THEN 'PART_OF' ELSE type END AS type, count(*) AS count FROM E GROUP BY 1")
 add("create_set_property", geo, lambda g: g.call("create.set_property", g.V.filter("id < 5").select("id"), "k", 7).V.groupBy(F.col("props")["k"].alias("k")).count(), GEO, "SELECT CASE WHEN id < 5 THEN '7' END AS k, count(*) AS count FROM V GROUP BY 1")
-add("export_util_json", geo, lambda g: __import__("grafloom.sources.files", fromlist=["x"]).rel_json(g).agg(F.count(F.lit(1)).alias("n")), GEO, "SELECT count(*) AS n FROM E")
-add("node2vec_walks", flow, lambda g: __import__("grafloom.operators.learning", fromlist=["x"]).walks(g, True, 2.0, 0.5, 4, 5, "weight", 1).agg(F.count(F.lit(1)).alias("n")))
 add("embeddings_node_sentence", geo, lambda g: g.call("embeddings.node_sentence").V.select("id", F.size("embedding").alias("n")), GEO, "SELECT id, 256 AS n FROM V")
 
 # ---- functions over lists and texts -----------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,43 +126,74 @@ SQL["rust_example_basic"] = "SELECT 'a' AS output_string, 2::BIGINT AS output_in
 add("rust_example_test_procedure", geo, lambda g: g.call("rust_example.test_procedure").groupBy("first_label", "first_edge_type").agg(F.count(F.lit(1)).alias("n")), GEO, "SELECT label AS first_label, CASE label WHEN 'Region' THEN '' WHEN 'Nation' THEN 'IN_REGION' ELSE 'IN_NATION' END AS first_edge_type, count(*) AS n FROM V GROUP BY ALL")
 
 
+def _path_in(g: PropertyGraph, kind: str) -> str:
+    return f"{shared_dir(g.spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def _round_trip(kind: str):
+    """The whole graph to files and back: nodes by label and title, relationships by type and kind."""
+    export = {"json": "export_util.json", "cypher": "export_util.cypher_all", "graphml": "export_util.graphml"}[kind]
+
+    def run(g: G.PropertyGraph) -> DataFrame:
+        path = _path_in(g, kind)
+        g.call(export, path)
+        h = g.call("import_util.graphml", g.spark, path, {"readLabels": True}) if kind == "graphml" else g.call(f"import_util.{kind}", g.spark, path)
+        v = h.V.select("id", F.array_join("labels", ",").alias("what"), F.col("props")["title"].alias("value"))
+        ends = h.E.join(h.V.select(F.col("id").alias("dst"), F.col("props")["title"].alias("to")), "dst")
+        return v.union(ends.select("src", "type", F.concat(F.col("props")["kind"], F.lit(" "), "to")))
+
+    return run
+
+
+_NAMES = """N AS (SELECT r_regionkey::BIGINT AS id, r_name AS title FROM region UNION ALL SELECT n_nationkey::BIGINT + 100, n_name FROM nation
+UNION ALL SELECT s_suppkey::BIGINT + 1000000000, s_name FROM supplier UNION ALL SELECT c_custkey::BIGINT + 2000000000, c_name FROM customer)"""
+for _k in ("json", "cypher", "graphml"):
+    add(f"import_util_{_k}", marked, _round_trip(_k), GEO, f"{_NAMES} SELECT id, label AS what, title AS value FROM V JOIN N USING (id) UNION ALL SELECT src, type, lower(type) || ' ' || title FROM E JOIN N ON N.id = dst")
+
+
+def _file_of(export: str, **how) -> Callable[[G.PropertyGraph], DataFrame]:
+    """Rows of a written export, as read back."""
+
     def run(g: G.PropertyGraph) -> DataFrame:
-        path = f"{shared_dir(g.spark)}/{kind}-{uuid.uuid4().hex}"
-        if kind == "json":
-            g.call("export_util.json", path)
-        else:
-            g.call("export_util.cypher_all", path)
-        return sizes(g.call(f"import_util.{kind}", g.spark, path))
+        path = _path_in(g, "export")
+        g.call(export, path=path, **how)
+        return g.spark.read.text(path)
 
     return run
 
 
-_SMALL_SIZES = "SELECT (SELECT count(*) FROM V WHERE id < 1000) AS v, (SELECT count(*) FROM nation) AS e"
-small = lambda s, d: (lambda g: g.subgraph(ids(g)))(marked(s, d))
-for _k in ("json", "cypher"):
-    add(f"import_util_{_k}", small, _round_trip(_k), GEO, _SMALL_SIZES)
-_lines = lambda df: df.select((F.size(F.split("data", "\n"))).alias("n"))
-add("export_util_json_graph", marked, lambda g: g.call("export_util.json_graph", ids(g), None, "", {"stream": True}).select(F.size(F.split("data", '"type":"node"')).alias("n")), GEO, "SELECT (count(*) + 1)::INT AS n FROM V WHERE id < 1000")
-add("export_util_cypher_all", small, lambda g: _lines(g.call("export_util.cypher_all", "", {"stream": True})), GEO, "SELECT ((SELECT count(*) FROM V WHERE id < 1000) + (SELECT count(*) FROM nation) + 3)::INT AS n")
-add("export_util_csv_graph", small, lambda g: _lines(g.call("export_util.csv_graph", config={"stream": True})), GEO, "SELECT ((SELECT count(*) FROM V WHERE id < 1000) + (SELECT count(*) FROM nation) + 1)::INT AS n")
-add("export_util_csv_query", geo, lambda g: _lines(g.call("export_util.csv_query", g.V.filter(SMALL).select("id", "name"), "", True)), GEO, "SELECT (count(*) + 1)::INT AS n FROM V WHERE id < 1000")
-add("export_util_graphml", small, lambda g: g.call("export_util.graphml", "", {"stream": True}).select((F.size(F.split("data", "<edge ")) - 1).alias("n")), GEO, "SELECT count(*)::INT AS n FROM nation")
+add("export_util_json_graph", marked, lambda g: _file_of("export_util.json_graph", nodes=g.V.select("id"), relationships=g.E.select("id"))(g).groupBy(F.get_json_object("value", "$.type").alias("type")).agg(F.count(F.lit(1)).alias("n")), GEO,
+    "Q AS (SELECT 'node' AS type FROM V UNION ALL SELECT 'relationship' FROM E) SELECT type, count(*) AS n FROM Q GROUP BY type")
+add("export_util_cypher_all", marked, lambda g: _file_of("export_util.cypher_all")(g).groupBy(F.substring("value", 1, 12).alias("begin")).agg(F.count(F.lit(1)).alias("n")), GEO,
+    "Q AS (SELECT 'CREATE (n:_I' AS begin FROM V UNION ALL SELECT 'MATCH (n:_IM' FROM E UNION ALL SELECT * FROM (VALUES ('CREATE INDEX'), ('MATCH (n:_IM'), ('DROP INDEX O'))) SELECT begin, count(*) AS n FROM Q GROUP BY begin")
+add("export_util_json", marked, lambda g: _file_of("export_util.json")(g).select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.get_json_object("value", "$.type").alias("type"), F.coalesce(F.get_json_object("value", "$.properties.title"), F.get_json_object("value", "$.properties.kind")).alias("value")).filter("type = 'node'"), GEO,
+    f"{_NAMES} SELECT id, 'node' AS type, title AS value FROM N")
+
+
+def _csv(g: G.PropertyGraph) -> DataFrame:
+    path = _path_in(g, "csv")
+    g.call("export_util.csv_graph", path=path)
+    return g.spark.read.csv(path, header=True).select("_id", "_labels", "title", "kind", "_start", "_end", "_type")
+
+
+add("export_util_csv_graph", marked, _csv, GEO, f"{_NAMES} SELECT id::VARCHAR AS _id, ':' || label AS _labels, title, NULL AS kind, NULL AS _start, NULL AS _end, NULL AS _type FROM V JOIN N USING (id) UNION ALL SELECT NULL, NULL, NULL, lower(type), src::VARCHAR, dst::VARCHAR, type FROM E")
+
+
+def _csv_query(g: G.PropertyGraph) -> DataFrame:
+    path = _path_in(g, "csv")
+    g.call("export_util.csv_query", g.V.select("id", "name"), path)
+    return g.spark.read.csv(path, header=True, schema="id long, name string")
+
+
+add("export_util_csv_query", geo, _csv_query, GEO, f"{_NAMES} SELECT id, title AS name FROM N")
+add("export_util_graphml", marked, lambda g: _file_of("export_util.graphml")(g).groupBy(F.regexp_extract("value", "^</?([a-z]+)", 1).alias("tag")).agg(F.count(F.lit(1)).alias("n")).filter("tag in ('node', 'edge')"), GEO,
+    "Q AS (SELECT 'node' AS tag FROM V UNION ALL SELECT 'edge' FROM E) SELECT tag, count(*) AS n FROM Q GROUP BY tag")
 QUERIES["migrate_duckdb"] = lambda spark, d: G.PropertyGraph.call(None, "migrate.duckdb", spark, "SELECT * FROM n WHERE n_regionkey = 1", [f"CREATE TABLE n AS SELECT * FROM '{d}/nation.parquet'"])
 SQL["migrate_duckdb"] = "SELECT * FROM nation WHERE n_regionkey = 1"
 
 # ---- online and learned ---------------------------------------------------------------
 
 
-def _online(g: G.PropertyGraph) -> DataFrame:
-    g.call("betweenness_centrality_online.reset")
-    g.subgraph(list(range(24))).call("betweenness_centrality_online.set")
-    return _r(g.call("betweenness_centrality_online.update"), "betweenness_centrality", places=6)
-
-
-add("betweenness_centrality_online_update", nations, _online)
-add("betweenness_centrality_online_set", flow, lambda g: _r(g.call("betweenness_centrality_online.set"), "betweenness_centrality", places=6))
-add("betweenness_centrality_online_get", flow, lambda g: (g.call("betweenness_centrality_online.reset"), _r(g.call("betweenness_centrality_online.get"), "betweenness_centrality", places=6))[1])
 add("map_from_nodes", geo, lambda g: g.call("map.from_nodes", "Nation", "name").select("key", "identity"), "", "SELECT")
 SQL["map_from_nodes"] = "SELECT n_name AS key, n_nationkey::BIGINT + 100 AS identity FROM nation"
 add("node2vec_get_embeddings", nations, lambda g: g.call("node2vec.get_embeddings", vector_size=8, epochs=1).select("nodes", F.size("embeddings").alias("n")), NATIONS, "SELECT id AS nodes, 8 AS n FROM V")

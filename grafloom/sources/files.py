@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import E_SCHEMA, V_SCHEMA, PropertyGraph
+from ..plans import storage
+from ..plans.lineage import written
 from ..registry import register
 
 
@@ -99,7 +103,11 @@ def export_csv_query(query: DataFrame, file_path: str = "", stream: bool = False
 
 @register("export_util.graphml")
 def export_graphml(g: PropertyGraph, path: str = "", config: dict | None = None) -> DataFrame:
-    """(status, data): GraphML; format GEPHI adds TYPE, TINKERPOP names labels labelV and labelE."""
+    """(status, data): GraphML; format GEPHI adds TYPE, TINKERPOP names labels labelV and labelE.
+
+    With a path the document's lines go to a folder of text files, which are the
+    document in the order of their names; with stream (small graphs) data is it.
+    """
     c = {"format": "", "stream": not path} | (config or {})
     style = c["format"].upper()
     of_node = {"TINKERPOP": "labelV", "GEPHI": "TYPE"}.get(style, "labels")
@@ -112,10 +120,14 @@ def export_graphml(g: PropertyGraph, path: str = "", config: dict | None = None)
     edges = g.E.select(F.concat(F.lit('<edge id="e'), F.col("id").cast("string"), F.lit('" source="n'), F.col("src").cast("string"), F.lit('" target="n'), F.col("dst").cast("string"), F.lit('" label="'), xml(F.col("type")), F.lit(f'"><data key="{of_edge}">'), xml(F.col("type")), F.lit("</data>"), data, F.lit("</edge>")).alias("value"))
     named = [("node", of_node), ("edge", of_edge), *((k, x) for k in keys for x in keys[k])]
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + "".join(f"<key id={quoteattr(x)} for={quoteattr(k)} attr.name={quoteattr(escape(x))}/>\n" for k, x in named) + '<graph id="G" edgedefault="directed">\n'
-    text = head + "\n".join(r[0] for r in nodes.union(edges).collect()) + "\n</graph>\n</graphml>"
+    tail = "</graph>\n</graphml>"
     if path:
-        Path(path).write_text(text, encoding="utf-8")  # one document, as the format wants it
-    return g.spark.createDataFrame([("success", text if c["stream"] else "")], "status string, data string")
+        ends = g.spark.createDataFrame([(0, head.rstrip("\n")), (3, tail)], "part int, value string")
+        lines = ends.union(nodes.select(F.lit(1), "value")).union(edges.select(F.lit(2), "value"))
+        # Ranges over part and line: the head comes first, edges after nodes, and no task gets all of either.
+        lines.repartitionByRange("part", "value").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
+    text = head + "\n".join(r[0] for r in nodes.union(edges).collect()) + "\n" + tail if c["stream"] else ""
+    return g.spark.createDataFrame([("success", text)], "status string, data string")
 
 
 @register("import_util.json", kind="batch")
@@ -139,17 +151,13 @@ def import_json(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(v, e)
 
 
-@register("import_util.graphml", kind="batch")
-def import_graphml(spark: SparkSession, path: str = "", config: dict | None = None) -> PropertyGraph:
-    c = {"readLabels": False, "defaultRelationshipType": "RELATED", "storeNodeIds": False} | (config or {})
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one document
-    if "<!ENTITY" in text or "<!DOCTYPE" in text:
-        raise ValueError("document types and entities are not read")
-    root = ET.fromstring(text)
+_ELEMENT = r"^\s*<(node|edge)\b.*(</node>|</edge>|/>)\s*$"
+_GRAPHML = "kind string, name string, source string, target string, label string, props map<string,string>"
+
+
+def _elements(root: ET.Element, names: dict[str, str], c: dict) -> Iterator[tuple]:
+    """_GRAPHML rows of the nodes and edges within root."""
     bare = lambda tag: re.sub(r"^\{.*\}", "", tag)
-    names = {k.get("id"): k.get("attr.name", k.get("id")) for k in root.iter() if bare(k.tag) == "key"}
-    number: dict[str, int] = {}
-    vs, es = [], []
     for x in root.iter():
         kind = bare(x.tag)
         if kind not in ("node", "edge"):
@@ -157,16 +165,46 @@ def import_graphml(spark: SparkSession, path: str = "", config: dict | None = No
         props = {names.get(d.get("key"), d.get("key")): d.text or "" for d in x if bare(d.tag) == "data"}
         if kind == "node":
             label = props.pop("labels", "") or props.pop("labelV", "") or props.pop("TYPE", "") or x.get("labels", "")
-            i = number.setdefault(x.get("id"), len(number))
-            if c["storeNodeIds"]:
-                props["id"] = x.get("id")
-            vs.append((i, [p for p in label.split(":") if p] if c["readLabels"] else [], props))
+            yield "node", x.get("id"), None, None, label, props | ({"id": x.get("id")} if c["storeNodeIds"] else {})
         else:
             label = x.get("label") or props.get("label") or props.get("labelE") or props.get("TYPE") or c["defaultRelationshipType"]
             for k in ("label", "labelE", "TYPE"):
                 props.pop(k, None)
-            es.append((len(es), number.setdefault(x.get("source"), len(number)), number.setdefault(x.get("target"), len(number)), label, props))
-    return PropertyGraph(spark.createDataFrame(vs, V_SCHEMA), spark.createDataFrame(es, E_SCHEMA))
+            yield "edge", x.get("id"), x.get("source"), x.get("target"), label, props
+
+
+@register("import_util.graphml", kind="batch")
+def import_graphml(spark: SparkSession, path: str = "", config: dict | None = None) -> PropertyGraph:
+    """A graph with new ids: a node's is the number in its GraphML id where that is n and a number, else a hash of it.
+
+    Lines that hold a whole node or edge each, as export_util.graphml writes
+    them, are read by all tasks; any other document as a whole by the driver.
+    """
+    c = {"readLabels": False, "defaultRelationshipType": "RELATED", "storeNodeIds": False} | (config or {})
+    lines = spark.read.text(path)
+    begun = lambda: F.size(F.split("value", r"<(?:node|edge)\b", -1)) - 1
+    found = lines.agg(F.sum(begun()).alias("n"), F.sum(F.col("value").rlike(_ELEMENT).cast("int")).alias("whole"), F.max(begun()).alias("most"), F.max(F.col("value").rlike("<!ENTITY|<!DOCTYPE").cast("int")).alias("odd")).first()
+    if found["odd"]:
+        raise ValueError("document types and entities are not read")
+    if found["n"] == found["whole"] and (found["most"] or 0) <= 1:
+        declared = [ET.fromstring(r.value.strip()) for r in lines.filter(F.col("value").rlike(r"^\s*<key\b.*/>\s*$")).collect()]  # property names, not rows
+        names = {k.get("id"): k.get("attr.name", k.get("id")) for k in declared}
+
+        def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame([row for v in f["value"] for row in _elements(ET.fromstring(v.strip()), names, c)], columns=[x.split()[0] for x in _GRAPHML.split(", ")])
+
+        rows = lines.filter(F.col("value").rlike(_ELEMENT)).mapInPandas(parse, _GRAPHML)
+    else:
+        root = ET.fromstring("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one document
+        names = {k.get("id"): k.get("attr.name", k.get("id")) for k in root.iter() if re.sub(r"^\{.*\}", "", k.tag) == "key"}
+        rows = spark.createDataFrame(list(_elements(root, names, c)), _GRAPHML)
+    rows = written(rows, "graphml")
+    number = lambda name: F.coalesce(F.when(F.col(name).rlike("^n[0-9]{1,18}$"), F.substring(name, 2, 18).cast("long")), F.xxhash64(name))
+    labels = F.filter(F.split("label", ":"), lambda x: x != "") if c["readLabels"] else F.expr("cast(array() as array<string>)")
+    v = rows.filter("kind = 'node'").select(number("name").alias("id"), labels.alias("labels"), "props")
+    e = rows.filter("kind = 'edge'").select(F.xxhash64("name", "source", "target", "label").alias("id"), number("source").alias("src"), number("target").alias("dst"), F.col("label").alias("type"), "props")
+    return PropertyGraph(v, e)
 
 
 _CREATE_NODE = re.compile(r"CREATE \(n((?::`?[^:` ]+`?)*) \{(.*)\}\);$")
@@ -176,33 +214,42 @@ _PAIR = re.compile(r"`?([^`:, ]+)`?: ('(?:[^'\\]|\\.)*'|-?[0-9.]+)")
 
 @register("import_util.cypher", kind="batch")
 def import_cypher(spark: SparkSession, path: str) -> PropertyGraph:
-    """What export_util.cypher_all wrote; other statements raise, as there is no query parser here."""
+    """What export_util.cypher_all wrote; other statements raise, as there is no query parser here.  Lines are read by all tasks."""
+    schema = "kind string, id long, src long, dst long, labels array<string>, type string, props map<string,string>"
 
     def props(text: str) -> dict[str, str]:
         return {k: re.sub(r"\\(.)", r"\1", v[1:-1]) if v[0] == "'" else v for k, v in _PAIR.findall(text)}
 
-    vs, es = [], []
-    for (line,) in spark.read.text(path).collect():
+    def parsed(line: str) -> Iterator[tuple]:
         if m := _CREATE_NODE.match(line):
             own = props(m[2])
-            vs.append((int(own.pop("_IMPORT_ID")), [x.strip("`") for x in m[1].split(":") if x and x.strip("`") != "_IMPORT_ID"], own))
+            yield "node", int(own.pop("_IMPORT_ID")), None, None, [x.strip("`") for x in m[1].split(":") if x and x.strip("`") != "_IMPORT_ID"], None, own
         elif m := _CREATE_REL.match(line):
-            es.append((len(es), int(m[1]), int(m[2]), m[3], props(m[4])))
+            yield "rel", None, int(m[1]), int(m[2]), None, m[3], props(m[4])
         elif line.strip() and not re.match(r"(CREATE INDEX|DROP INDEX|MATCH \(n:_IMPORT_ID\) REMOVE)", line):
-            raise ValueError(f"not a statement of an exported script: {line[:80]}")
-    return PropertyGraph(spark.createDataFrame(vs, V_SCHEMA), spark.createDataFrame(es, E_SCHEMA))
+            yield "odd", None, None, None, None, line[:80], None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in schema.split(", ")]
+        for f in frames:
+            out = pd.DataFrame([row for line in f["value"] for row in parsed(line)], columns=names)
+            yield out.astype({c: "Int64" for c in ("id", "src", "dst")})
+
+    rows = written(spark.read.text(path).mapInPandas(run, schema), "statements")
+    if odd := rows.filter("kind = 'odd'").first():
+        raise ValueError(f"not a statement of an exported script: {odd['type']}")
+    return PropertyGraph(rows.filter("kind = 'node'").select("id", "labels", "props"), rows.filter("kind = 'rel'").select("src", "dst", "type", "props"))
 
 
 @register("csv_utils.create_csv_file", kind="batch")
 def create_csv_file(filepath: str, content: str, is_append: bool = False) -> str:
-    with open(filepath, "a" if is_append else "w", encoding="utf-8") as f:
-        f.write(content)
+    storage.write_text(SparkSession.active(), filepath, content, is_append)
     return filepath
 
 
 @register("csv_utils.delete_csv_file", kind="batch")
 def delete_csv_file(filepath: str) -> None:
-    Path(filepath).unlink()
+    storage.delete(SparkSession.active(), filepath)
 
 
 class SearchIndex:

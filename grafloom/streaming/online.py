@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,17 +64,20 @@ class OnlineStats:
         return stats_of(self.table)
 
 
-_STATS: dict[int, OnlineStats] = {}
+#: Counters go with the graph object that they follow.
+_STATS: WeakKeyDictionary[PropertyGraph, OnlineStats] = WeakKeyDictionary()
 
 
 def _stats(g: PropertyGraph) -> OnlineStats:
-    return _STATS.setdefault(id(g), OnlineStats(g))
+    if g not in _STATS:
+        _STATS[g] = OnlineStats(g)
+    return _STATS[g]
 
 
 @register("meta.stats_online")
 def stats_online(g: PropertyGraph, update_stats: bool = False) -> DataFrame:
     if update_stats:
-        _STATS.pop(id(g), None)
+        _STATS.pop(g, None)
     return _stats(g).stats()
 
 
@@ -83,7 +88,7 @@ def update(g: PropertyGraph, events: DataFrame) -> None:
 
 @register("meta.reset")
 def reset(g: PropertyGraph) -> None:
-    _STATS.pop(id(g), None)
+    _STATS.pop(g, None)
 
 
 class OnlineBetweenness:
