@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import co_located, written
 
 
-def components(v: DataFrame, e: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, component): the least id reachable when directions are ignored.
+#: So many links, 16 bytes each, are a small part of what any task holds.
+FEW_LINKS = 500_000
+
+
+def _joined_up(links: DataFrame) -> DataFrame:
+    """(id, component) of links (src, dst) that one task holds, by union-find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
 
-    Labels of neighbours are taken by partial aggregates, and every second step
-    follows labels to their labels, so that long paths need few rounds.
+        for batch in batches:
+            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["id", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def components(v: DataFrame, e: DataFrame, max_rounds: int = 200, few: int = FEW_LINKS) -> DataFrame:
+    """(id, component: the least id reachable when directions are ignored).
+
+    Up to few links are joined up in one task.  Beyond that labels of neighbours
+    are taken by partial aggregates, and every second step follows labels to
+    their labels, so that long paths need few rounds.
     """
-    both = co_located(written(e.select("src", "dst").union(e.select("dst", "src")).filter("src <> dst").distinct(), "links"), "dst")
-    now = written(v.select("id").distinct().withColumn("component", F.col("id")), "labels")
+    links = written(e.select("src", "dst").filter("src <> dst").distinct(), "links")
+    ids = v.select("id").distinct()
+    if links.count() <= few:
+        return ids.join(written(_joined_up(links), "components"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    both = co_located(links.union(links.select("dst", "src")).distinct(), "dst")
+    now = written(ids.withColumn("component", F.col("id")), "labels")
     for _ in range(max_rounds):
         offers = both.join(now, both["dst"] == now["id"]).groupBy("src").agg(F.min("component").alias("offer"))
         near = now.join(offers, now["id"] == offers["src"], "left").select("id", "component", F.least("component", F.coalesce("offer", "component")).alias("new"))
@@ -25,9 +60,9 @@ def components(v: DataFrame, e: DataFrame, max_rounds: int = 200) -> DataFrame:
         nxt = written(nxt, "labels")
         now = nxt.select("id", "component")
         if nxt.filter("old <> component").isEmpty():
-            break
-    both.unpersist()
-    return now
+            both.unpersist()
+            return now
+    raise RuntimeError(f"components weren't settled within {max_rounds} rounds")
 
 
 def levels(e: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep_seeds: bool = True) -> DataFrame:
@@ -59,10 +94,10 @@ def relax(e: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
         old = best.select("source", "id", F.col("distance").alias("was"))
         front = written(offer.join(old, ["source", "id"], "left").filter("was is null or distance < was").drop("was"), "front")
         if front.isEmpty():
-            break
+            links.unpersist()
+            return best
         best = written(best.join(front, ["source", "id"], "left_anti").union(front), "best")
-    links.unpersist()
-    return best
+    raise RuntimeError(f"distances weren't settled within {max_rounds} rounds")
 
 
 def apply_per_component(v: DataFrame, e: DataFrame, kernel, schema: str, extra: list[Column] | None = None) -> DataFrame:

@@ -281,7 +281,7 @@ def _communities(name: str, *args):
 
 
 for _n, _call in (("community_detection_get", "community_detection.get"), ("leiden_community_detection_get", "leiden_community_detection.get"), ("cugraph_louvain_get", "cugraph.louvain.get"), ("cugraph_leiden_get", "cugraph.leiden.get"), ("igraphalg_community_leiden", "igraphalg.community_leiden")):
-    add(_n, strong, _communities(_call), STRONG, "SELECT (SELECT count(*) FROM V WHERE id IN (SELECT src FROM E UNION SELECT dst FROM E)) AS n, true AS better")
+    add(_n, strong, _communities(_call, *(["modularity"] if _call.startswith("igraph") else [])), STRONG, "SELECT (SELECT count(*) FROM V WHERE id IN (SELECT src FROM E UNION SELECT dst FROM E)) AS n, true AS better")
 
 
 def _coloured(name: str):

@@ -280,3 +280,21 @@ def test_similarity(spark):
     assert rows(v.call("knn.get", {"nodeProperties": "e"})) == [(0, 1, pytest.approx(0.8)), (1, 0, pytest.approx(0.8)), (2, 0, 0.0)]
     with pytest.raises(ValueError):
         v.call("knn.get", {"nodeProperties": "e", "topK": 0})
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_by_rounds_and_in_one_task(spark, few):
+    from grafloom.plans.loops import components
+
+    rng = random.Random(few)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)]
+    nodes = list(range(42)) + list(range(100, 161))
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    g = PropertyGraph.of(spark, nodes, edges)
+    assert {r.id: r.component for r in components(g.V, g.E, few=few).collect()} == label
+    if not few:
+        with pytest.raises(RuntimeError):
+            components(g.V, g.E, max_rounds=1, few=0)
