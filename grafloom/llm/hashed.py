@@ -182,10 +182,21 @@ def sample(docs: DataFrame, wanted: DataFrame, label: str, limit: int, per_label
 
 
 def least_hashed(docs: DataFrame, limit: int, most_bytes: int = SAMPLE_BYTES // 4) -> list[str]:
-    """At most limit different texts of docs and most_bytes of them, those that hash lowest."""
-    few = docs.filter(F.octet_length("text") > 0).select("text", F.xxhash64("text").alias("order_")).orderBy("order_", "text").limit(limit)
-    few = few.distinct().withColumn("held_", F.sum(F.octet_length("text")).over(Window.orderBy("order_", "text")))
-    return sorted(r["text"] for r in few.filter(F.col("held_") <= most_bytes).select("text").toLocalIterator())
+    """At most limit different texts of docs and most_bytes of them, those that hash lowest.
+
+    Hashes and sizes are ordered first, so that only texts that are taken are moved.
+    """
+    hashed = docs.filter(F.octet_length("text") > 0).select("text", F.xxhash64("text").alias("order_"))
+    lean = hashed.groupBy("order_").agg(F.max(F.octet_length("text")).alias("size")).orderBy("order_").limit(limit).collect()  # limit rows
+    held, last = 0, None
+    for r in lean:
+        held += r["size"]
+        if held > most_bytes:
+            break
+        last = r["order_"]
+    if last is None:
+        return []
+    return sorted(r["text"] for r in hashed.filter(F.col("order_") <= last).select("text").distinct().toLocalIterator())
 
 
 def batches_of(rows: int, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
