@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbatch import _U, POWERS, Slice, Words, code_points, mix, prefix, slices, windows, words
 
@@ -170,6 +171,10 @@ def sample(docs: DataFrame, wanted: DataFrame, label: str, limit: int, per_label
     if per_label:
         labels = few.groupBy("label_").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_").limit(limit).collect()
         share = max(1, limit // max(1, len(labels)))
+        # A label's rows that may be taken lie below a hash that some four times as many do, so that no task gets all of a frequent one.
+        cuts = [(r["label_"], min(2**63 - 1, -(2**63) + 2**64 * (4 * share + 60) // r["n"])) for r in labels]
+        cuts = few.sparkSession.createDataFrame(cuts, T.StructType([few.schema["label_"], T.StructField("cut_", T.LongType())]))
+        few = few.join(F.broadcast(cuts), "label_").filter(F.col("order_") <= F.col("cut_")).drop("cut_")  # limit rows at most
         ranked = few.withColumn("rank_", F.row_number().over(Window.partitionBy("label_").orderBy("order_", "doc_id")))
         few = ranked.filter(F.col("rank_") <= share).drop("rank_")
     few = few.orderBy("order_", "doc_id").limit(limit)
