@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from grafloom import queries as Q
+from grafloom import queries_checked  # noqa: F401  adds to Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = sorted(Q.SQL)[::5]
