@@ -145,7 +145,7 @@ _STEPS = "W(s, t, d) AS (SELECT id, id, 0 FROM V UNION SELECT s, dst, d + 1 FROM
 _DIST = f"{_STEPS.format(e='E')}, D AS (SELECT s, t, min(d) AS d FROM W GROUP BY s, t)"
 add("nxalg_shortest_path_length", nations, lambda g: g.call("nxalg.shortest_path_length", source=0), NATIONS, f"{_DIST} SELECT s AS source, t AS target, d::DOUBLE AS length FROM D WHERE s = 0")
 add("nxalg_shortest_path", nations, lambda g: g.call("nxalg.shortest_path", source=0).select("target", F.size("path").alias("n")), NATIONS, f"{_DIST} SELECT t AS target, (d + 1)::INT AS n FROM D WHERE s = 0")
-add("igraphalg_shortest_path_length", nations, lambda g: g.call("igraphalg.shortest_path_length", 0, 7), NATIONS, f"{_DIST} SELECT d::DOUBLE AS length FROM D WHERE s = 0 AND t = 7")
+add("igraphalg_shortest_path_length", nations, lambda g: g.call("igraphalg.shortest_path_length", 0, 7), NATIONS, f"{_DIST} SELECT coalesce((SELECT d::DOUBLE FROM D WHERE s = 0 AND t = 7), 'inf'::DOUBLE) AS length")
 add("igraphalg_get_shortest_path", nations, lambda g: g.call("igraphalg.get_shortest_path", 0, 7).select(F.size("path").alias("n")), NATIONS, f"{_DIST} SELECT (d + 1)::INT AS n FROM D WHERE s = 0 AND t = 7")
 add("igraphalg_all_shortest_path_lengths", nations, lambda g: g.call("igraphalg.all_shortest_path_lengths", directed=True), NATIONS, f"{_DIST} SELECT a.id AS src_node, b.id AS dest_node, coalesce(d::DOUBLE, 'inf'::DOUBLE) AS length FROM V a CROSS JOIN V b LEFT JOIN D ON s = a.id AND t = b.id")
 add("nxalg_diameter", nations, lambda g: g.call("nxalg.diameter"), NATIONS, f"{_DIST} SELECT max(d)::BIGINT AS diameter FROM D")

@@ -247,7 +247,7 @@ add("nxalg_voronoi_cells", geo, lambda g: g.call("nxalg.voronoi_cells", [100, 10
 # ---- flows --------------------------------------------------------------------------------
 
 # Among so many nations with trade each way, what a seller sends out or a buyer takes in is the cut.
-_CUT = "SELECT least((SELECT sum(weight) FROM E WHERE src = 0), (SELECT sum(weight) FROM E WHERE dst = 7)) AS {c}"
+_CUT = "SELECT least((SELECT coalesce(sum(weight), 0) FROM E WHERE src = 0), (SELECT coalesce(sum(weight), 0) FROM E WHERE dst = 7)) AS {c}"
 add("max_flow_get_flow", nations, lambda g: g.call("max_flow.get_flow", 0, 7), NATIONS, _CUT.format(c="max_flow"))
 add("igraphalg_maxflow", nations, lambda g: g.call("igraphalg.maxflow", 0, 7), NATIONS, _CUT.format(c="max_flow"))
 add("max_flow_get_paths", nations, lambda g: g.call("max_flow.get_paths", 0, 7).agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("total")), NATIONS, _CUT.format(c="total"))
@@ -256,7 +256,7 @@ add("max_flow_get_paths", nations, lambda g: g.call("max_flow.get_paths", 0, 7).
 def _cut(g: G.PropertyGraph) -> DataFrame:
     side = written(g.call("igraphalg.mincut", 0, 7, "weight"), "sides")
     a, b = side.filter("partition_id = 0").select(F.col("node").alias("src")), side.filter("partition_id = 1").select(F.col("node").alias("dst"))
-    return beside(g.E.join(a, "src").join(b, "dst").agg(F.sum("weight").alias("capacity")), count(side, "n"))
+    return beside(g.E.join(a, "src").join(b, "dst").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("capacity")), count(side, "n"))
 
 
 add("igraphalg_mincut", nations, _cut, NATIONS, _CUT.format(c="capacity") + ", (SELECT count(*) FROM V) AS n")
@@ -281,7 +281,7 @@ def _communities(name: str, *args):
 
 
 for _n, _call in (("community_detection_get", "community_detection.get"), ("leiden_community_detection_get", "leiden_community_detection.get"), ("cugraph_louvain_get", "cugraph.louvain.get"), ("cugraph_leiden_get", "cugraph.leiden.get"), ("igraphalg_community_leiden", "igraphalg.community_leiden")):
-    add(_n, strong, _communities(_call, *(["modularity"] if _call.startswith("igraph") else [])), STRONG, "SELECT (SELECT count(*) FROM V WHERE id IN (SELECT src FROM E UNION SELECT dst FROM E)) AS n, true AS better")
+    add(_n, strong, _communities(_call, *(["modularity"] if _call.startswith("igraph") else [])), STRONG, f"SELECT (SELECT count(*) FROM V WHERE {_call.startswith('igraph')} OR id IN (SELECT src FROM E UNION SELECT dst FROM E)) AS n, true AS better")
 
 
 def _coloured(name: str):
