@@ -121,7 +121,7 @@ ROWS_BYTES = 64 << 10
 
 def rows_of(texts: pa.Array, spec: Spec) -> Rows:
     """Features of a bounded number of texts, to train on."""
-    sizes, buckets, shares = [], [], []
+    sizes, buckets, shares = bytearray(), bytearray(), bytearray()  # these grow in place: lists of arrays would be there twice
     size = 1 << spec.bits
     for part in slices(texts, ROWS_BYTES):
         u = units(part, spec)
@@ -142,11 +142,10 @@ def rows_of(texts: pa.Array, spec: Spec) -> Rows:
         count = np.bincount(where, np.concatenate(counts), len(found))
         row = found // size
         all_of = np.bincount(row, count, n)
-        sizes.append(np.bincount(row, minlength=n))
-        buckets.append((found % size).astype(np.int32))
-        shares.append((count / all_of[row]).astype(np.float32))
-    flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return Rows(np.concatenate([[0], np.cumsum(flat(sizes, np.int64))]), flat(buckets, np.int32), flat(shares, np.float32))
+        sizes += np.bincount(row, minlength=n).astype(np.int64).data
+        buckets += (found % size).astype(np.int32).data
+        shares += (count / all_of[row]).astype(np.float32).data
+    return Rows(np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]), np.frombuffer(buckets, np.int32), np.frombuffer(shares, np.float32))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
