@@ -91,3 +91,13 @@ def test_very_long_text(spark):
     got = {r.doc_id: r.score for r in classifier.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
     short = {r.doc_id: r.score for r in classifier.classify(spark.createDataFrame([*rows[:-1], (99, "abc def!! " * 3, "", "")], DOCS), labels).collect()}
     assert abs(got[99] - short[99]) < 1e-4
+
+
+def test_features_of_all_texts_are_those_of_each():
+    given = ["", None, "a few words, a few", "x" * 200_000, "words " * 30_000, "a few words, a few"]
+    got = rows_of(pa.array(given, pa.string()), classifier.SPEC)
+    each = [rows_of(pa.array([t], pa.string()), classifier.SPEC) for t in given]
+    assert got.at.tolist() == np.concatenate([[0], np.cumsum([len(r.bucket) for r in each])]).tolist()
+    assert got.bucket.tolist() == np.concatenate([r.bucket for r in each]).tolist()
+    assert got.share.tolist() == np.concatenate([r.share for r in each]).tolist()
+    assert rows_of(pa.array([], pa.string()), classifier.SPEC).at.tolist() == [0]
