@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Iterator
 
@@ -192,14 +193,15 @@ def degree_centrality_subgraph(g: PropertyGraph, subgraph_nodes, subgraph_relati
     return degree_centrality(g.subgraph(subgraph_nodes, subgraph_relationships), type)
 
 
-def adjacency(e: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (src, dst) as sorted ids, offsets and targets, for kernels that need the graph whole on every task."""
-    t = e.select("src", "dst").toArrow()
+def adjacency(e: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Edges (src, dst, perhaps w) as sorted ids, offsets, targets and weights, for kernels that need the graph whole on every task."""
+    weighted = "w" in e.columns
+    t = e.select("src", "dst", *["w"] * weighted).toArrow()
     src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
     ids = np.unique(np.concatenate([src, dst]))
     s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
     order = np.lexsort((d, s))
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(ids)))]), d[order]
+    return ids, np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(ids)))]), d[order], t.column("w").to_numpy()[order] if weighted else None
 
 
 #: A copy of the adjacency goes to every task; so many edges take 80 MB there.
@@ -234,23 +236,50 @@ def brandes(source: int, offs: np.ndarray, to: np.ndarray, score: np.ndarray, en
         score[source] += reached.sum()
 
 
+def brandes_weighted(source: int, offs: np.ndarray, to: np.ndarray, cost: np.ndarray, score: np.ndarray, endpoints: bool = False) -> None:
+    """As brandes(), by lengths of paths; every cost is positive, so that a vertex is settled before those behind it."""
+    dist, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
+    todo, settled = [(0.0, source)], set()
+    while todo:
+        far, x = heapq.heappop(todo)
+        if x in settled:
+            continue
+        settled.add(x)
+        order.append(x)
+        for y, c in zip(to[offs[x] : offs[x + 1]].tolist(), cost[offs[x] : offs[x + 1]].tolist(), strict=True):
+            way, known = far + c, dist.get(y, np.inf)
+            if way < known:
+                dist[y], paths[y], before[y] = way, paths[x], [x]
+                heapq.heappush(todo, (way, y))
+            elif way == known and y not in settled:
+                paths[y] += paths[x]
+                before[y].append(x)
+    delta = dict.fromkeys(order, 0.0)
+    for y in reversed(order[1:]):
+        for x in before[y]:
+            delta[x] += paths[x] / paths[y] * (1 + delta[y])
+        score[y] += delta[y] + endpoints
+    score[source] += (len(order) - 1) * endpoints
+
+
 def betweenness_sums(g: PropertyGraph, edges: DataFrame, sources: DataFrame | None = None, endpoints: bool = False) -> DataFrame:
-    """(node, score): dependencies summed over all sources, which are spread over the tasks."""
+    """(node, score): dependencies summed over all sources, which are spread over the tasks; edges may have a cost w."""
     size = edges.count()
     if size > ADJACENCY_EDGES:
         raise ValueError(f"{size} edges exceed the {ADJACENCY_EDGES} that a task holds; take a subgraph")
-    ids, offs, to = adjacency(edges)
     spark = g.spark
-    shared = spark.sparkContext.broadcast((ids, offs, to))
+    shared = spark.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, offs, to = shared.value
+        ids, offs, to, cost = shared.value
         score = np.zeros(len(ids))
         for batch in batches:
             for s in batch.column("id").to_pylist():
                 i = int(np.searchsorted(ids, s))
-                if i < len(ids) and ids[i] == s:
+                if i < len(ids) and ids[i] == s and cost is None:
                     brandes(i, offs, to, score, endpoints)
+                elif i < len(ids) and ids[i] == s:
+                    brandes_weighted(i, offs, to, cost, score, endpoints)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score)], names=["id", "score"])
 
     start = (g.V.select("id") if sources is None else sources).repartition(max(1, spark.sparkContext.defaultParallelism), "id")
@@ -279,10 +308,14 @@ def betweenness_gpu(g: PropertyGraph, normalized: bool = True, directed: bool =
 
 @register("nxalg.betweenness_centrality")
 def nx_betweenness(g: PropertyGraph, k: int | None = None, normalized: bool = True, weight: str | None = None, endpoints: bool = False, seed: int | None = None) -> DataFrame:
-    """(node, betweenness) on the simple directed view; weight isn't supported."""
-    if weight is not None:
-        raise ValueError("weighted betweenness is not supported")
-    e, n = g.E.select("src", "dst").filter("src <> dst").distinct(), g.V.count()
+    """(node, betweenness) on the simple directed view; by a weight, of parallel edges the lightest counts and each is positive."""
+    e, n = g.E.select("src", "dst", g.weight(weight).alias("w")).filter("src <> dst"), g.V.count()
+    if weight is None:
+        e = e.select("src", "dst").distinct()
+    else:
+        e = written(e.groupBy("src", "dst").agg(F.min("w").alias("w")), "costs")
+        if not e.filter("not w > 0 or isnan(w)").isEmpty():
+            raise ValueError(f"shortest paths need a positive {weight} on every edge")
     sources = g.V.select("id").orderBy(F.xxhash64("id", F.lit(seed or 0)), "id").limit(k) if k else None
     scale = 1.0 if not normalized or n <= 2 else 1.0 / ((n - 1) * (n if endpoints else n - 2))
     scale *= n / k if k else 1.0

@@ -125,6 +125,8 @@ def igraph_leiden(g: PropertyGraph, objective_function: str = "CPM", weights: st
     """(node, community_id) of all nodes; the objective is modularity with that resolution, for CPM divided by the mean degree squared."""
     if objective_function not in ("CPM", "modularity"):
         raise ValueError("objective_function is CPM or modularity")
+    if initial_membership is not None or node_weights is not None:
+        raise ValueError("neither a starting membership nor node weights are taken")
     gamma = resolution_parameter
     if objective_function == "CPM":
         total = 2 * (g.E.agg(F.sum(g.weight(weights) if weights else F.lit(1.0))).first()[0] or 0.0)
@@ -165,19 +167,29 @@ def rmat(g: PropertyGraph, scale: int = 4, num_edges: int = 100, a: float = 0.57
     return out.select(F.greatest("source", "target").alias("source"), F.least("source", "target").alias("target")) if clip_and_flip else out
 
 
-def colour_rounds(g: PropertyGraph, colours: int | None = None) -> DataFrame:
-    """(id, color): Jones and Plassmann's rounds; who outranks all undecided neighbours takes the least free colour."""
-    link = written(g.undirected().select("src", "dst").filter("src <> dst").distinct(), "links")
+def colour_rounds(g: PropertyGraph, colours: int | None = None, weight: str | None = None, by_degree: bool = True) -> DataFrame:
+    """(id, color): Jones and Plassmann's rounds; who outranks all undecided neighbours takes the least free colour.
+
+    That is what greedy colouring gives in order of rank: degree, then a hash, or
+    the hash alone.  With so many colours only, who finds none free takes the one
+    that the least weight of edges to decided neighbours has, the least of equals.
+    """
+    both = g.undirected().withColumn("w", PropertyGraph(g.V, g.undirected()).weight(weight)) if weight else g.undirected().withColumn("w", F.lit(1.0))
+    link = written(both.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
     deg = link.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    rank = g.V.select("id").join(deg, "id", "left").select("id", F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("id").alias("h"), "id").alias("rank"))
+    order = F.coalesce("d", F.lit(0)) if by_degree else F.lit(0)
+    rank = g.V.select("id").join(deg, "id", "left").select("id", F.struct(order.alias("d"), F.xxhash64("id").alias("h"), "id").alias("rank"))
     rank = written(rank, "rank")
     done = g.spark.createDataFrame([], "id long, color long")
     todo = rank
     while not todo.isEmpty():
         near = link.join(todo.select(F.col("id").alias("dst"), F.col("rank").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.max("other").alias("top"))
         now = todo.join(near, "id", "left").filter("top is null or rank > top").select("id")
-        used = link.join(done.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("color").alias("used"))
+        spent = link.join(done.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id"), "color").agg(F.sum("w").alias("w"))
+        used = spent.groupBy("id").agg(F.collect_set("color").alias("used"), F.min(F.struct("w", "color")).alias("cheapest"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
+        if colours is not None:
+            free = F.when(free < colours, free).otherwise(F.col("cheapest.color"))
         fresh = written(now.join(used, "id", "left").select("id", F.when(F.col("used").isNull(), F.lit(0).cast("long")).otherwise(free).alias("color")), "fresh")
         done = written(done.union(fresh), "coloured")
         todo = written(todo.join(fresh, "id", "left_anti"), "todo")
@@ -186,8 +198,16 @@ def colour_rounds(g: PropertyGraph, colours: int | None = None) -> DataFrame:
 
 @register("graph_coloring.color_graph")
 def color_graph(g: PropertyGraph, parameters: dict | None = None, edge_property: str = "weight") -> DataFrame:
-    """(node, color): neighbours differ; the number of colours is what that takes here."""
-    return colour_rounds(g).select(F.col("id").alias("node"), "color")
+    """(node, color): neighbours differ, and the number of colours is what that takes here.
+
+    With no_of_colors among the parameters there are no more than that, and edges
+    of little edge_property are the first to have like ends where they don't
+    suffice.  The other parameters steer a search that isn't made here.
+    """
+    colours = (parameters or {}).get("no_of_colors")
+    if colours is not None and colours < 1:
+        raise ValueError("no_of_colors is 1 at least")
+    return colour_rounds(g, colours, edge_property).select(F.col("id").alias("node"), "color")
 
 
 @register("graph_coloring.color_subgraph")
@@ -197,8 +217,10 @@ def color_subgraph(g: PropertyGraph, vertices, edges, parameters: dict | None =
 
 @register("nxalg.greedy_color")
 def greedy_color(g: PropertyGraph, strategy: str = "largest_first", interchange: bool = False) -> DataFrame:
-    """(node, color): the largest degrees first, in parallel rounds."""
-    return color_graph(g)
+    """(node, color): greedy, in the order of degrees (largest_first) or of hashes (random_sequential); other strategies are refused."""
+    if strategy not in ("largest_first", "random_sequential") or interchange:
+        raise ValueError("strategy is largest_first or random_sequential, without interchange")
+    return colour_rounds(g, by_degree=strategy == "largest_first").select(F.col("id").alias("node"), "color")
 
 
 @register("kmeans.get_clusters")

@@ -189,6 +189,71 @@ def test_colouring_is_valid_and_communities_are_found(spark):
         assert {frozenset(n for n in label if label[n] == c) for c in set(label.values())} == {frozenset(range(k, k + 5)) for k in (0, 10, 20)}
 
 
+def test_colours_are_bounded_and_greedy_orders_are_kept(spark):
+    full = [(a, b, "R", {"weight": 1 if (a, b) == (0, 3) else 9}) for a, b in itertools.combinations(range(4), 2)]
+    g = PropertyGraph.of(spark, [0, 1, 2, 3, 4], full)
+    three = dict(rows(g.call("graph_coloring.color_graph", {"no_of_colors": 3})))
+    assert set(three.values()) == {0, 1, 2} and sum(three[a] == three[b] for a, b, *_ in full) == 1
+    assert set(dict(rows(g.call("graph_coloring.color_graph", {"no_of_colors": 1}))).values()) == {0}
+    assert len(set(dict(rows(g.call("graph_coloring.color_graph"))).values())) == 4
+    # Whichever is last has both colours beside it and takes that of the lighter edge, which the heaviest never is.
+    triangle = PropertyGraph.of(spark, [0, 1, 2], [(0, 1, "R", {"weight": 5}), (1, 2, "R", {"weight": 3}), (0, 2, "R", {"weight": 1})])
+    two = dict(rows(triangle.call("graph_coloring.color_graph", {"no_of_colors": 2})))
+    assert two[0] != two[1] and set(two.values()) == {0, 1}
+    star = [(0, i) for i in range(1, 6)]
+    s = PropertyGraph.of(spark, list(range(6)), star)
+    assert dict(rows(s.call("nxalg.greedy_color"))) == {0: 0, **{i: 1 for i in range(1, 6)}}
+    loose = dict(rows(s.call("nxalg.greedy_color", "random_sequential")))
+    assert all(loose[a] != loose[b] for a, b in star)
+    for bad in ({"strategy": "DSATUR"}, {"interchange": True}):
+        with pytest.raises(ValueError):
+            s.call("nxalg.greedy_color", **bad)
+    with pytest.raises(ValueError):
+        s.call("graph_coloring.color_graph", {"no_of_colors": 0})
+    with pytest.raises(ValueError):
+        s.call("igraphalg.community_leiden", "modularity", initial_membership=[0] * 6)
+
+
+def test_weighted_betweenness_against_all_paths(spark):
+    draw = random.Random(5)
+    n = 9
+    edges = [(a, b, "R", {"w": draw.randint(1, 4)}) for a in range(n) for b in range(n) if draw.random() < 0.3]
+    edges += [(*edges[0][:2], "R", {"w": 1}), (2, 2, "R", {"w": 1})]
+    g = PropertyGraph.of(spark, list(range(n + 1)), edges)
+    cost = {}
+    for a, b, _, p in edges:
+        if a != b:
+            cost[a, b] = min(p["w"], cost.get((a, b), 99))
+
+    def walks(path, length, end):
+        if path[-1] == end:
+            yield length, path
+            return
+        for y in range(n):
+            if y not in path and (path[-1], y) in cost:
+                yield from walks([*path, y], length + cost[path[-1], y], end)
+
+    inner, ends = Counter(), Counter()
+    for s, t in itertools.permutations(range(n), 2):
+        found = list(walks([s], 0, t))
+        best = [p for length, p in found if length == min(x for x, _ in found)]
+        for p in best:
+            for x in p[1:-1]:
+                inner[x] += 1 / len(best)
+        if best:
+            ends[s] += 1
+            ends[t] += 1
+    got = dict(rows(g.call("nxalg.betweenness_centrality", weight="w", normalized=False)))
+    assert got == pytest.approx({x: inner[x] for x in range(n + 1)})
+    got = dict(rows(g.call("nxalg.betweenness_centrality", weight="w", endpoints=True)))
+    assert got == pytest.approx({x: (inner[x] + ends[x]) / ((n + 1) * n) for x in range(n + 1)})
+    plain = rows(g.call("nxalg.betweenness_centrality"))
+    assert rows(g.call("nxalg.betweenness_centrality", weight="absent")) == [(x, pytest.approx(b)) for x, b in plain]
+    zero = PropertyGraph.of(spark, [0, 1], [(0, 1, "R", {"w": 0})])
+    with pytest.raises(ValueError):
+        zero.call("nxalg.betweenness_centrality", weight="w")
+
+
 def test_paths(people):
     g = people
     found = rows(g.call("path.expand", 0, ["HUNTS>", "CATCHES>"], [], 1, 2).select(F.col("result.nodes").alias("n")))
