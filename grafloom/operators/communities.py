@@ -144,14 +144,14 @@ def _spectral(g: PropertyGraph, clusters: int, rounds: int, weight: str | None)
 
 
 @register("cugraph.balanced_cut_clustering.get")
-def balanced_cut(g: PropertyGraph, num_clusters: int, num_eigenvectors: int = 2, ev_tolerance: float = 1e-5, ev_max_iter: int = 100, kmean_tolerance: float = 1e-5, kmean_max_iter: int = 100, weight_property: str = "weight") -> DataFrame:
-    """(node, cluster) by power iteration, an approximation of the spectral cut."""
-    return _spectral(g, num_clusters, min(ev_max_iter, 40), weight_property)
+def balanced_cut(g: PropertyGraph, num_clusters: int, num_eigenvectors: int = 2, ev_tolerance: float = 1e-5, ev_max_iter: int = 40, kmean_tolerance: float = 1e-5, kmean_max_iter: int = 100, weight_property: str = "weight") -> DataFrame:
+    """(node, cluster) by ev_max_iter rounds of power iteration, an approximation of the spectral cut."""
+    return _spectral(g, num_clusters, ev_max_iter, weight_property)
 
 
 @register("cugraph.spectral_clustering.get")
-def spectral(g: PropertyGraph, num_clusters: int, num_eigenvectors: int = 2, ev_tolerance: float = 1e-5, ev_max_iter: int = 100, kmean_tolerance: float = 1e-5, kmean_max_iter: int = 20, weight_property: str = "weight") -> DataFrame:
-    return _spectral(g, num_clusters, min(ev_max_iter, 40), weight_property)
+def spectral(g: PropertyGraph, num_clusters: int, num_eigenvectors: int = 2, ev_tolerance: float = 1e-5, ev_max_iter: int = 40, kmean_tolerance: float = 1e-5, kmean_max_iter: int = 20, weight_property: str = "weight") -> DataFrame:
+    return _spectral(g, num_clusters, ev_max_iter, weight_property)
 
 
 @register("cugraph.generator.rmat")
