@@ -122,3 +122,32 @@ def test_very_long_text(spark):
     rows = [(0, long), (1, long[1000:1300]), (2, "x" * 200 + long[5000:5100])]
     got = sorted(repeats.remove_repeats(spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS), need=64, gram=16, keep="none").collect(), key=lambda r: r.doc_id)
     assert summary(got) == brute(rows, 64, "none")
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_copies_of_a_frequent_run_are_not_dealt_to_one_task(spark, tmp_path, keep):
+    rows = [(7, 7, 7, i, i % 5, i, 0, 9, 0) for i in range(4000)] + [(i // 2, 1, 1, i, i % 5, i, 20, 29, 20) for i in range(400)] + [(i, 2, 2, i, 0, i, 40, 49, 40) for i in range(1000, 1100)]
+    spark.createDataFrame(rows, repeats.UNITS).repartition(8).write.parquet(f"{tmp_path}/units")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole, _ = repeats._settle(spark, spark.read.parquet(f"{tmp_path}/units"), keep)
+        got = [tuple(x) for x in whole.selectExpr("f", "r", "lo", "hi", "spark_partition_id()").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    frequent = [x for x in got if x[2] == 0]
+    tasks = [x[4] for x in frequent]
+    assert max(tasks.count(t) for t in set(tasks)) < len(tasks) / 2
+    assert len({x[:4] for x in got}) == len(got)
+    assert (len(frequent), len(got)) == ((4000, 4400) if keep == "none" else (3999, 4199))
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_frequent_runs_against_brute_force(spark, monkeypatch, keep):
+    monkeypatch.setattr(repeats, "OFTEN", 3)
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    monkeypatch.setattr(repeats, "BLOCK", 8)
+    rows = corpus(11, 70)
+    docs = spark.createDataFrame([(i, t, "old", 1) for i, t in rows], DOCS).repartition(5)
+    got = sorted(repeats.remove_repeats(docs, need=64, gram=16, keep=keep).collect(), key=lambda r: r.doc_id)
+    assert summary(got) == brute(rows, 64, keep)
