@@ -177,7 +177,10 @@ def set_link_parameters(g: PropertyGraph, parameters: dict) -> DataFrame:
 
 @register("link_prediction.train")
 def train_links(g: PropertyGraph) -> DataFrame:
-    """(part, metric, value) on the training and the held-out edges; as many pairs without an edge are drawn by hash."""
+    """(part, metric, value) on the training and the held-out edges; as many pairs without an edge are drawn by hash.
+
+    Without a pair to learn from every pair is as likely as not; a measure of a part that has no pair is 0.
+    """
     s = LINK.settings
     e = g.E.filter(F.col("type") == s.target_relation) if s.target_relation else g.E
     known = written(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct(), "known")
@@ -192,12 +195,17 @@ def train_links(g: PropertyGraph) -> DataFrame:
     seen = g.E.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(hidden, ["a", "b"], "left_anti").select(g.E.columns)
     data = written(link_features(PropertyGraph(g.V, seen), rows), "features")
     stages = [VectorAssembler(inputCols=LINK_FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=s.num_epochs, labelCol="label")]
-    LINK.model = Pipeline(stages=stages).fit(data.filter("not held"))
+    learnt = data.filter("not held")
+    if learnt.isEmpty():
+        even = [(*[0.0] * len(LINK_FEATURES), y) for y in (0.0, 1.0)]
+        learnt = g.spark.createDataFrame(even, ", ".join(f"{c} double" for c in [*LINK_FEATURES, "label"]))
+    LINK.model = Pipeline(stages=stages).fit(learnt)
     if s.context_save_dir:
         LINK.model.write().overwrite().save(s.context_save_dir)
     scored = LINK.model.transform(data)
     rows = scored.groupBy("held").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), (F.sum(F.col("prediction") * F.col("label")) / F.sum("prediction")).alias("precision"), (F.sum(F.col("prediction") * F.col("label")) / F.sum("label")).alias("recall")).collect()
-    LINK.results = [("validation" if r["held"] else "training", m, float(r[m] or 0.0)) for r in rows for m in ("accuracy", "precision", "recall")]
+    of = {r["held"]: r for r in rows}
+    LINK.results = [(part, m, float(held in of and of[held][m] or 0.0)) for part, held in (("training", False), ("validation", True)) for m in ("accuracy", "precision", "recall")]
     return get_training_results(g)
 
 
