@@ -174,7 +174,8 @@ def is_strongly_regular(g: PropertyGraph) -> DataFrame:
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
             common[b in adj[a]].add(len(adj[a] & adj[b]))
-    return one(g, bool(adj) and len({len(x) for x in adj.values()}) == 1 and all(len(x) <= 1 for x in common.values()), "is_strongly_regular boolean")
+    # Distance-regular of diameter 2: neither without edges nor complete, and every two nodes apart share a neighbour.
+    return one(g, bool(adj) and len({len(x) for x in adj.values()}) == 1 and all(len(x) == 1 for x in common.values()) and common[False] != {0}, "is_strongly_regular boolean")
 
 
 @register("nxalg.immediate_dominators")
@@ -236,7 +237,10 @@ def _balance(g: PropertyGraph) -> tuple[int, int, int, bool]:
 def _euler(g: PropertyGraph) -> tuple[bool, bool]:
     a, b, c, joined = _balance(g)
     alone = g.V.join(g.E.select(F.col("src").alias("id")).union(g.E.select("dst")), "id", "left_anti").isEmpty()
-    return joined and alone and a == b == c == 0, joined and c == 0 and (a, b) in ((0, 0), (1, 1))
+    some = a or b or c or not g.E.isEmpty()
+    # Without edges only a single node has a path, and it is a circuit.
+    lone = not some and g.V.limit(2).count() == 1
+    return lone or (some and joined and alone and a == b == c == 0), lone or (some and joined and c == 0 and (a, b) in ((0, 0), (1, 1)))
 
 
 @register("nxalg.is_eulerian")
