@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..plans.lineage import co_located, written
+from ..plans.loops import between, components, peel
 from ..registry import register
 
 
@@ -208,8 +209,8 @@ def adjacency(e: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 ADJACENCY_EDGES = 10_000_000
 
 
-def brandes(source: int, offs: np.ndarray, to: np.ndarray, score: np.ndarray, endpoints: bool = False) -> None:
-    """Add the dependencies of one source to score, level by level; parallel edges are parallel paths."""
+def brandes(source: int, offs: np.ndarray, to: np.ndarray, score: np.ndarray, endpoints: bool = False, mass: np.ndarray | None = None) -> None:
+    """Add the dependencies of one source to score, level by level; parallel edges are parallel paths, and a vertex may stand for a mass of them."""
     n = len(offs) - 1
     depth, paths = np.full(n, -1), np.zeros(n)
     depth[source], paths[source] = 0, 1.0
@@ -227,9 +228,9 @@ def brandes(source: int, offs: np.ndarray, to: np.ndarray, score: np.ndarray, en
         front = new
     delta = np.zeros(n)
     for a, b in reversed(layers):
-        np.add.at(delta, a, paths[a] / paths[b] * (1 + delta[b]))
+        np.add.at(delta, a, paths[a] / paths[b] * ((1 if mass is None else mass[b]) + delta[b]))
     delta[source] = 0
-    score += delta
+    score += delta if mass is None else mass[source] * delta
     if endpoints:
         reached = depth > 0
         score[reached] += 1
@@ -262,22 +263,27 @@ def brandes_weighted(source: int, offs: np.ndarray, to: np.ndarray, cost: np.nda
     score[source] += (len(order) - 1) * endpoints
 
 
-def betweenness_sums(g: PropertyGraph, edges: DataFrame, sources: DataFrame | None = None, endpoints: bool = False) -> DataFrame:
-    """(node, score): dependencies summed over all sources, which are spread over the tasks; edges may have a cost w."""
+def betweenness_sums(g: PropertyGraph, edges: DataFrame, sources: DataFrame | None = None, endpoints: bool = False, masses: DataFrame | None = None) -> DataFrame:
+    """(node, score): dependencies summed over all sources, which are spread over the tasks; edges may have a cost w, or vertices masses (id, w)."""
     size = edges.count()
     if size > ADJACENCY_EDGES:
         raise ValueError(f"{size} edges exceed the {ADJACENCY_EDGES} that a task holds; take a subgraph")
     spark = g.spark
-    shared = spark.sparkContext.broadcast(adjacency(edges))
+    ids, offs, to, cost = adjacency(edges)
+    mass = None
+    if masses is not None:
+        t = masses.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", "w").toArrow()
+        mass = t.column("w").to_numpy().astype(float)[np.argsort(t.column("id").to_numpy())]
+    shared = spark.sparkContext.broadcast((ids, offs, to, cost, mass))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, offs, to, cost = shared.value
+        ids, offs, to, cost, mass = shared.value
         score = np.zeros(len(ids))
         for batch in batches:
             for s in batch.column("id").to_pylist():
                 i = int(np.searchsorted(ids, s))
                 if i < len(ids) and ids[i] == s and cost is None:
-                    brandes(i, offs, to, score, endpoints)
+                    brandes(i, offs, to, score, endpoints, mass)
                 elif i < len(ids) and ids[i] == s:
                     brandes_weighted(i, offs, to, cost, score, endpoints)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score)], names=["id", "score"])
@@ -287,15 +293,69 @@ def betweenness_sums(g: PropertyGraph, edges: DataFrame, sources: DataFrame | No
     return g.V.select("id").join(part, "id", "left").select(F.col("id").alias("node"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+#: Up to so many links all sources are searched from without a look for trees first.
+FEW_SEARCHED = 2000
+
+
+def undirected_sums(g: PropertyGraph, few: int = FEW_SEARCHED) -> DataFrame:
+    """(node, score): betweenness over unordered pairs, directions ignored.
+
+    Trees that hang on the graph are taken off by rounds.  What a vertex of them
+    lies between follows from how many hang on each of its branches and how many
+    its component holds; only what is left is searched, each vertex with the
+    mass that hangs on it.
+    """
+    both = g.undirected().select("src", "dst")
+    if g.E.count() <= few:
+        return betweenness_sums(g, both).select("node", (F.col("score") / 2).alias("score"))
+    rounds, left = peel(g.E, 0)
+    # (id, w: how many hang on it, squares: the sum of the squares by branch); long sums are exact.
+    hung, trees = g.spark.createDataFrame([], "id long, w long, squares long"), []
+    for off in rounds:
+        own = off.join(hung.hint("shuffle_hash"), off["leaf"] == hung["id"], "left")
+        own = written(own.select("leaf", "parent", (F.coalesce("w", F.lit(0)) + 1).alias("w"), F.coalesce("squares", F.lit(0)).alias("squares")), "trees")
+        trees.append(own)
+        more = own.groupBy(F.col("parent").alias("id")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("squares"))
+        hung = written(hung.union(more).groupBy("id").agg(F.sum("w").alias("w"), F.sum("squares").alias("squares")), "hung")
+    gone = None
+    for own in trees:
+        gone = own.select(F.col("leaf").alias("id")) if gone is None else gone.union(own.select("leaf"))
+    roots = g.V.select("id").distinct()
+    roots = roots if gone is None else roots.join(gone.hint("shuffle_hash"), "id", "left_anti")
+    roots = written(roots.join(hung.hint("shuffle_hash"), "id", "left").select("id", (F.coalesce("w", F.lit(0)) + 1).alias("w"), F.coalesce("squares", F.lit(0)).alias("squares")), "roots")
+    link = left.select(F.col("a").alias("src"), F.col("b").alias("dst"), "m")
+    if link.isEmpty():
+        roots = roots.withColumn("size", F.col("w")).withColumn("inner", F.lit(0.0))
+    else:
+        parts = components(roots, link)
+        sizes = parts.join(roots.select("id", "w").hint("shuffle_hash"), "id").groupBy("component").agg(F.sum("w").alias("size"))
+        core = between(g.E, left).select("src", "dst")
+        core = written(core.union(core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "core")
+        inner = betweenness_sums(PropertyGraph(core.select(F.col("src").alias("id")).distinct(), link), core, masses=roots)
+        inner = inner.select(F.col("node").alias("id"), (F.col("score") / 2).alias("inner"))
+        roots = roots.join(parts.join(sizes, "component").select("id", "size").hint("shuffle_hash"), "id").join(inner.hint("shuffle_hash"), "id", "left").fillna(0.0, ["inner"])
+        roots = written(roots, "roots")
+    hanging = (F.col("w") - 1) * (F.col("w") - 1) - F.col("squares")
+    out = roots.select("id", (hanging / 2 + (F.col("w") - 1) * (F.col("size") - F.col("w")) + F.col("inner")).alias("score"))
+    known = roots.select("id", "size")
+    for own in reversed(trees):
+        # Sizes come down from the parents, which went in later rounds or stay.
+        own = written(own.join(known.withColumnRenamed("id", "parent").hint("shuffle_hash"), "parent").select(F.col("leaf").alias("id"), "w", "squares", "size"), "sized")
+        rest = F.col("size") - F.col("w")
+        out = out.union(own.select("id", (((F.col("size") - 1) * (F.col("size") - 1) - F.col("squares") - rest * rest) / 2).alias("score")))
+        known = written(known.union(own.select("id", "size")), "known")
+    return out.select(F.col("id").alias("node"), "score")
+
+
 @register("betweenness_centrality.get")
 def betweenness(g: PropertyGraph, directed: bool = True, normalized: bool = True, threads: int | None = None) -> DataFrame:
     """(node, betweenness_centrality) by unweighted shortest paths."""
-    e = g.E.select("src", "dst") if directed else g.undirected().select("src", "dst")
     n = g.V.count()
-    scale = 1.0 if directed else 0.5
+    scale = 1.0
     if normalized and n > 2:
         scale *= (1.0 if directed else 2.0) / ((n - 1) * (n - 2))
-    return betweenness_sums(g, e).select("node", (F.col("score") * scale).alias("betweenness_centrality"))
+    sums = betweenness_sums(g, g.E.select("src", "dst")) if directed else undirected_sums(g)
+    return sums.select("node", (F.col("score") * scale).alias("betweenness_centrality"))
 
 
 @register("cugraph.betweenness_centrality.get")

@@ -65,6 +65,42 @@ def components(v: DataFrame, e: DataFrame, max_rounds: int = 200, few: int = FEW
     raise RuntimeError(f"components weren't settled within {max_rounds} rounds")
 
 
+#: Up to so many links a component's kernel holds in a small part of a task's memory, so that nothing is peeled off first.
+FEW_PEELED = 100_000
+
+
+def peel(e: DataFrame, few: int = FEW_PEELED) -> tuple[list[DataFrame], DataFrame]:
+    """([(leaf, parent, m) of each round], (a, b, m): links that are left, a < b); m counts the edges between two ends.
+
+    A round takes off each vertex that has one neighbour, of two that have only
+    each other the greater.  Only degrees are aggregated and links matched by
+    both ends, so that a hub's leaves don't meet in one task.  Rounds end at few
+    links, and where they take off less than a tenth (long paths).
+    """
+    left = written(e.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("m")), "links")
+    rounds, size = [], left.count()
+    while size > few:
+        ends = left.select(F.col("a").alias("leaf"), F.col("b").alias("parent"), "m").union(left.select("b", "a", "m"))
+        lone = ends.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"), F.min("m").alias("m")).filter("n = 1")
+        pair = lone.select(F.least("leaf", "parent").alias("a"), F.greatest("leaf", "parent").alias("b"), "leaf", "m")
+        # A pair that comes from both ends has no other link; its greater end goes.
+        off = written(pair.groupBy("a", "b").agg(F.max("leaf").alias("leaf"), F.min("m").alias("m")), "off")
+        taken = off.count()
+        if taken:
+            rounds.append(off.select("leaf", F.when(F.col("leaf") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"), "m"))
+            left = written(left.join(off.select("a", "b").hint("shuffle_hash"), ["a", "b"], "left_anti"), "links")
+        size -= taken
+        if taken * 10 < size + taken:
+            break
+    return rounds, left
+
+
+def between(e: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of e whose ends, whichever comes first, are those of links (a, b)."""
+    ends = links.select("a", "b").hint("shuffle_hash")
+    return e.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(ends, ["a", "b"], "left_semi").drop("a", "b")
+
+
 def levels(e: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep_seeds: bool = True) -> DataFrame:
     """(id, depth): breadth-first distance from seeds (id) over edges (src, dst); without keep_seeds a seed counts only if reached again."""
     links = co_located(written(e.select("src", "dst").distinct(), "links"), "src")
