@@ -12,7 +12,7 @@ from ..plans.lineage import written
 from ..plans.loops import components
 from ..registry import register
 from . import nxalg
-from .structure import scc
+from .structure import scc, strong_labels
 
 
 def _counted(df: DataFrame, key, name: str) -> DataFrame:
@@ -121,7 +121,7 @@ def _analyses() -> dict[str, Callable[[PropertyGraph], DataFrame]]:
         "is_weakly_connected": lambda g: own(g, wcc(g).select("component").distinct().limit(2).count() == 1),
         "number_of_weakly_components": lambda g: value(wcc(g).agg(F.count_distinct("component"))),
         "is_strongly_connected": lambda g: own(g, scc(g).limit(2).count() == 1), "strongly_components": lambda g: value(scc(g).agg(F.count(F.lit(1)))),
-        "is_dag": lambda g: own(g, scc(g).filter(F.size("components") > 1).isEmpty() and g.E.filter("src = dst").isEmpty()),
+        "is_dag": lambda g: own(g, strong_labels(g).groupBy("label").count().filter("count > 1").isEmpty() and g.E.filter("src = dst").isEmpty()),
         "is_eulerian": lambda g: value(nxalg.is_eulerian(g)), "is_forest": lambda g: value(nxalg.is_forest(g)), "is_tree": lambda g: value(nxalg.is_tree(g)),
     }
 

@@ -16,7 +16,7 @@ from ..plans.loops import apply_per_component, components, levels, relax
 from ..registry import register
 from .flow import _seed, _weighted, all_lengths
 from .paths import PATH, all_simple_paths
-from .structure import scc
+from .structure import _hanging, strong_labels
 
 #: Kernels that need a whole graph on one machine refuse more edges than this.
 WHOLE_EDGES = 2_000_000
@@ -67,7 +67,8 @@ def is_chordal(g: PropertyGraph) -> DataFrame:
 
 @register("nxalg.check_planarity")
 def check_planarity(g: PropertyGraph) -> DataFrame:
-    found = apply_per_component(g.V, g.E, lambda n, e: [(exact.is_planar(exact._sets(n, e)),)], "ok boolean")
+    _, v, e = _hanging(g)  # what hangs on by one neighbour can be drawn beside it
+    found = apply_per_component(v, e, lambda n, e: [(exact.is_planar(exact._sets(n, e)),)], "ok boolean")
     return found.agg(F.coalesce(F.min("ok"), F.lit(True)).alias("is_planar"))
 
 
@@ -262,11 +263,12 @@ def is_semieulerian(g: PropertyGraph) -> DataFrame:
 @register("nxalg.flow_hierarchy")
 def flow_hierarchy(g: PropertyGraph, weight: str | None = None) -> DataFrame:
     """(flow_hierarchy): the share of edges (or weight) that lie on no cycle."""
-    label = scc(g).select(F.monotonically_increasing_id().alias("c"), F.explode("components").alias("id"))
-    label = written(label, "strong")
+    label = strong_labels(g)
     e = g.E.select("src", "dst", (g.weight(weight) if weight else F.lit(1.0)).alias("w"))
-    e = e.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst")
-    return e.agg((1 - F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("flow_hierarchy"))
+    on = e.join(label.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").filter("src <> dst and a = b")
+    on = on.select("w").union(e.filter("src = dst").select("w")).agg(F.sum("w").alias("on"))
+    every = e.agg(F.sum("w").alias("w"))
+    return every.crossJoin(F.broadcast(on)).select((1 - F.coalesce("on", F.lit(0.0)) / F.col("w")).alias("flow_hierarchy"))  # one row each
 
 
 @register("nxalg.isolates")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..graph import PropertyGraph
 from ..kernels import exact
 from ..plans.lineage import written
-from ..plans.loops import apply_per_component, components
+from ..plans.loops import apply_per_component, between, components, peel, trim, two_sided
 from ..registry import register
 
 
@@ -30,10 +30,33 @@ def _parts(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     return g.V, g.E
 
 
+def _hanging(g: PropertyGraph) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Edges to what hangs on by one neighbour ((id, src, dst, a, b: its lesser and greater end, m: how many there are of them), None in
+    a small graph), and vertices and edges of the rest."""
+    rounds, left = peel(g.E)
+    if not rounds:
+        return None, g.V, g.E
+    off = None
+    for r in rounds:
+        r = r.select(F.least("leaf", "parent").alias("a"), F.greatest("leaf", "parent").alias("b"), "m")
+        off = r if off is None else off.union(r)
+    e = g.E.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).select("id", "src", "dst", "a", "b")
+    rest = written(between(g.E.select("id", "src", "dst"), left), "rest")
+    return e.join(off.hint("shuffle_hash"), ["a", "b"]), rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct(), rest
+
+
 @register("biconnected_components.get")
 def biconnected(g: PropertyGraph) -> DataFrame:
-    """(bcc_id, node_from, node_to): every edge's component; ids are the least edge of each."""
-    return apply_per_component(g.V, g.E, exact.biconnected_edges, "bcc_id long, node_from long, node_to long")
+    """(bcc_id, node_from, node_to): every edge's component; ids are the least edge of each.
+
+    Links to what hangs on by one neighbour are components of their own.
+    """
+    off, v, e = _hanging(g)
+    found = apply_per_component(v, e, exact.biconnected_edges, "bcc_id long, node_from long, node_to long")
+    if off is None:
+        return found
+    several = off.filter("m > 1").groupBy("a", "b").agg(F.min("id").alias("bcc_id"), F.collect_list(F.struct("src", "dst")).alias("ends")).select("bcc_id", F.inline("ends"))
+    return found.union(off.filter("m = 1").select("id", "src", "dst")).union(several)
 
 
 @register("nxalg.biconnected_components")
@@ -46,7 +69,9 @@ def nx_biconnected(g: PropertyGraph) -> DataFrame:
 @register("bridges.get")
 def bridges(g: PropertyGraph) -> DataFrame:
     """(node_from, node_to): edges whose loss parts their component; parallel edges never are."""
-    return apply_per_component(g.V, g.E, exact.bridges, "node_from long, node_to long")
+    off, v, e = _hanging(g)
+    found = apply_per_component(v, e, exact.bridges, "node_from long, node_to long")
+    return found if off is None else found.union(off.filter("m = 1").select("src", "dst"))
 
 
 @register("nxalg.bridges")
@@ -93,14 +118,22 @@ def max_matching(g: PropertyGraph) -> DataFrame:
 
 @register("nxalg.is_bipartite")
 def is_bipartite(g: PropertyGraph) -> DataFrame:
-    sizes = apply_per_component(g.V, g.E, exact.two_colourable, "ok boolean")
-    return sizes.agg(F.coalesce(F.min("ok"), F.lit(True)).alias("is_bipartite"))
+    return two_sided(g.E).select(F.col("ok").alias("is_bipartite"))
+
+
+def strong_labels(g: PropertyGraph) -> DataFrame:
+    """(id, label) of vertices that may be strongly connected to others; the rest are alone."""
+    e = trim(g.E).withColumn("id", F.lit(0).cast("long"))
+    v = written(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), "vertices")
+    return written(apply_per_component(v, e, exact.strong_labels, "id long, label long"), "strong")
 
 
 @register("nxalg.strongly_connected_components")
 def scc(g: PropertyGraph) -> DataFrame:
     """(components): sorted lists of ids."""
-    labels = apply_per_component(g.V, g.E, exact.strong_labels, "id long, label long")
+    labels = strong_labels(g)
+    alone = g.V.select("id").join(labels.select("id").hint("merge"), "id", "left_anti").select("id", F.col("id").alias("label"))
+    labels = labels.union(alone)
     return labels.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("components")).select("components")
 
 
