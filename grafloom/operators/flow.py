@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..graph import PropertyGraph, prop
 from ..kernels.exact import FlowNet
 from ..plans.lineage import written
-from ..plans.loops import apply_per_component, components, relax
+from ..plans.loops import FEW_LINKS, apply_per_component, components, relax
 from ..registry import register
 from .paths import all_simple_paths
 
@@ -295,8 +295,11 @@ def spanning_edges(g: PropertyGraph, weights: str | None) -> DataFrame:
     """(id, src, dst, weight) of a least spanning forest, by Boruvka's rounds; ties go to the lesser edge id."""
     e = written(g.E.filter("src <> dst").select("id", "src", "dst", (g.weight(weights) if weights else F.lit(1.0)).alias("weight")), "edges")
     label = written(g.V.select("id", F.col("id").alias("c")), "trees")
+    # Files of labels are small for what they hold, so that the larger are kept from being broadcast.
+    large = e.count() > FEW_LINKS
     chosen = e.limit(0)
     while True:
+        label = label.hint("merge") if large else label
         out = e.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a <> b")
         out = written(out, "crossing")
         if out.isEmpty():
