@@ -96,7 +96,7 @@ def _embedded(df: DataFrame, text, dimension: int, name: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def embed(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in s:
-            yield part.map(lambda t: hashed_vector(t or "", dimension).tolist())
+            yield part.map(lambda t: None if t is None else hashed_vector(t, dimension).tolist())
 
     return df.withColumn(name, embed(text))
 
@@ -109,20 +109,26 @@ def model_info(g: PropertyGraph, configuration: dict | None = None) -> DataFrame
 
 @register("embeddings.node_sentence", kind="write")
 def node_sentence(g: PropertyGraph, input_nodes=None, configuration: dict | None = None) -> PropertyGraph:
-    """The graph with an embedding of each node's sentence: its labels, then its properties as key: value."""
+    """The graph with an embedding of each node's sentence: its labels, then its properties as key: value.
+
+    Embeddings are made where the nodes are; only which nodes are asked for is joined.
+    """
     c = EMBEDDING | (configuration or {})
     pairs = F.transform(F.filter(F.array_sort(F.map_entries("props")), lambda e: ~e["key"].isin(*c["excluded_properties"], c["embedding_property"])), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     sentence = F.concat_ws(" ", F.array_join("labels", " "), F.array_join(pairs, " "))
-    v = g.V if input_nodes is None else g.V.join(g._ids(input_nodes), "id", "left_semi")
-    found = _embedded(v.select("id", sentence.alias("s")), F.col("s"), c["dimension"], c["embedding_property"]).drop("s")
-    return PropertyGraph(g.V.drop(c["embedding_property"]).join(found, "id", "left"), g.E)
+    v = g.V.drop(c["embedding_property"])
+    if input_nodes is not None:
+        v = v.join(g._ids(input_nodes).withColumn("asked_", F.lit(True)), "id", "left")
+        sentence = F.when(F.col("asked_"), sentence)
+    v = _embedded(v.withColumn("sentence_", sentence), F.col("sentence_"), c["dimension"], c["embedding_property"])
+    return PropertyGraph(v.drop("sentence_", "asked_"), g.E)
 
 
 @register("embeddings.text")
 def text_embeddings(g: PropertyGraph, input_strings: list[str], configuration: dict | None = None) -> DataFrame:
     """(text, embedding)."""
     c = EMBEDDING | (configuration or {})
-    return _embedded(g.spark.createDataFrame([(t,) for t in input_strings], "text string"), F.col("text"), c["dimension"], "embedding")
+    return _embedded(g.spark.createDataFrame([(t,) for t in input_strings], "text string"), F.coalesce("text", F.lit("")), c["dimension"], "embedding")
 
 
 # ---- link prediction ---------------------------------------------------------------
