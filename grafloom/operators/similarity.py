@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,11 +100,53 @@ def _cosine(a: Column, b: Column) -> Column:
     return _guard(F.size(a) == F.size(b), F.when(norm < 1e-9, 0.0).otherwise(dot(a, b) / norm), "vectors differ in size")
 
 
+PAIR_BLOCK = 2048  # vectors of a block whose pairs go out
+STRIP = 256  # of a block's vectors, so many meet the other block at once
+
+
+_PAIR = pa.schema([("node1", pa.int64()), ("node2", pa.int64()), ("similarity", pa.float64())])
+
+
+def _sides(t: pa.Table, columns: list[str]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids in order, matrices of their vectors) of both of a pair of blocks."""
+    t, out = t.sort_by([("id", "ascending")]), []
+    for side in (0, 1):
+        part = t.filter(pc.equal(t.column("side"), side)).combine_chunks()
+        flat = [pc.list_flatten(part.column(c)).to_numpy() for c in columns]
+        out.append((part.column("id").to_numpy(), [x.reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 0)) for x in flat]))
+    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of each row of a with each of b, 0 where a length is next to nothing."""
+    size = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    return np.where(size < 1e-9, 0.0, (a @ b.T) / np.maximum(size, 1e-300))
+
+
 @register("node_similarity.cosine")
 def cosine(g: PropertyGraph, property: str) -> DataFrame:  # noqa: A002
+    """(node1, node2, similarity) of every two nodes, by blocks of a matrix product; rows go out as they are made."""
     v = written(_vectors(g, property), "vectors")
-    a, b = v.select(F.col("id").alias("node1"), F.col("v").alias("a")), v.select(F.col("id").alias("node2"), F.col("v").alias("b"))
-    return a.join(b, F.col("node1") < F.col("node2")).select("node1", "node2", _cosine(F.col("a"), F.col("b")).alias("similarity"))
+    if v.select(F.size("v").alias("n")).distinct().limit(2).count() > 1:
+        raise ValueError("vectors differ in size")
+    blocks = max(1, -(-v.count() // PAIR_BLOCK))
+    packed = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = packed.select(F.col("b").alias("lb"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("rb"), F.lit(0).alias("side"), "id", "v")
+    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("lb"), F.col("b").alias("rb"), F.lit(1).alias("side"), "id", "v")
+
+    def run(t: pa.Table) -> pa.Table:
+        (a, ua), (b, ub) = _sides(t, ["v"])
+        own, out = t.column("lb")[0] == t.column("rb")[0], []
+        for i in range(0, len(a) if len(b) else 0, STRIP):
+            value = _cosines(ua[0][i : i + STRIP], ub[0])
+            first, second = np.broadcast_to(a[i : i + STRIP, None], value.shape), np.broadcast_to(b, value.shape)
+            # A block meets itself too; then each pair goes out once.
+            keep = first < second if own else np.ones(value.shape, bool)
+            n1, n2 = first[keep], second[keep]
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(n1, n2)), pa.array(np.maximum(n1, n2)), pa.array(value[keep])], names=["node1", "node2", "similarity"]))
+        return pa.Table.from_batches(out, _PAIR)
+
+    return left.union(right).groupBy("lb", "rb").applyInArrow(run, "node1 long, node2 long, similarity double")
 
 
 @register("node_similarity.cosine_pairwise")
@@ -115,7 +156,8 @@ def cosine_pairwise(g: PropertyGraph, property: str, src_nodes: list[int], dst_n
     return both.select("node1", "node2", _cosine(F.col("a"), F.col("b")).alias("similarity"))
 
 
-BLOCK = 4096  # vectors of a block: two blocks and their products take some 200 MB at 384 dimensions
+BLOCK = 4096  # vectors of a block: two blocks and a strip's products take some 100 MB at 384 dimensions
+_NEAR = pa.schema([("node", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
 
 
 @register("knn.get")
@@ -142,33 +184,28 @@ def knn(g: PropertyGraph, config: dict) -> DataFrame:
     left = packed.select(F.col("b").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(0).alias("side"), "id", *columns)
     right = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("lb"), F.col("b").alias("rb"), F.lit(1).alias("side"), "id", *columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("id", "ascending")])
-        sides = []
-        for side in (0, 1):
-            part = t.filter(pa.compute.equal(t.column("side"), side))
-            units = []
-            for c in columns:
-                m = np.array(part.column(c).to_pylist(), float).reshape(part.num_rows, -1)
-                norm = np.linalg.norm(m, axis=1)
-                units.append((m, norm))
-            sides.append((part.column("id").to_numpy(), units))
-        (a, ua), (b, ub) = sides
-        if not len(a) or not len(b):
-            return
-        total = np.zeros((len(a), len(b)))
-        for (ma, na), (mb, nb) in zip(ua, ub, strict=True):
-            size = np.outer(na, nb)
-            total += np.where(size < 1e-9, 0.0, ((ma @ mb.T) / np.maximum(size, 1e-300) + 1) / 2)
-        total /= len(columns)
-        total[a[:, None] == b[None, :]] = -1
-        k = min(top, len(b))
-        best = np.argsort(-np.round(total, 12), axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(total, best, 1)
-        keep = value >= cut
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, k)[keep.ravel()]), pa.array(b[best].ravel()[keep.ravel()]), pa.array(value.ravel()[keep.ravel()])], names=["node", "neighbour", "similarity"])
-
-    found = left.union(right).groupBy("lb", "rb").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches()))), pa.schema([("node", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])), "node long, neighbour long, similarity double")
+    def run(t: pa.Table) -> pa.Table:
+        (a, ua), (b, ub) = _sides(t, columns)
+        k, out = min(top, len(b)), []
+        for i in range(0, len(a) if k else 0, STRIP):
+            total = np.zeros((len(a[i : i + STRIP]), len(b)))
+            for ma, mb in zip(ua, ub, strict=True):
+                size = np.outer(np.linalg.norm(ma[i : i + STRIP], axis=1), np.linalg.norm(mb, axis=1))
+                total += np.where(size < 1e-9, 0.0, ((ma[i : i + STRIP] @ mb.T) / np.maximum(size, 1e-300) + 1) / 2)
+            total /= len(columns)
+            total[a[i : i + STRIP, None] == b[None, :]] = -1
+            # Whatever may round to the k-th value is looked at; of equals the lesser ids stay.
+            least = np.partition(total, len(b) - k, axis=1)[:, len(b) - k, None]
+            row, at = np.nonzero(total >= least - 2e-12)
+            value = total[row, at]
+            order = np.lexsort((at, -np.round(value, 12), row))
+            row, at, value = row[order], at[order], value[order]
+            first = np.searchsorted(row, row)
+            keep = (np.arange(len(row)) - first < k) & (value >= cut)
+            out.append(pa.RecordBatch.from_arrays([pa.array(a[i + row[keep]]), pa.array(b[at[keep]]), pa.array(value[keep])], names=["node", "neighbour", "similarity"]))
+        return pa.Table.from_batches(out, _NEAR)
+
+    found = left.union(right).groupBy("lb", "rb").applyInArrow(run, "node long, neighbour long, similarity double")
     from pyspark.sql import Window
 
     w = Window.partitionBy("node").orderBy(F.desc(F.round("similarity", 12)), "neighbour")
