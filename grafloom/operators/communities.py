@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..plans.lineage import written
+from ..plans.lineage import co_located, dealt, written
 from ..plans.loops import components
 from ..registry import register
 
@@ -174,8 +174,10 @@ def colour_rounds(g: PropertyGraph, colours: int | None = None, weight: str | No
     the hash alone.  With so many colours only, who finds none free takes the one
     that the least weight of edges to decided neighbours has, the least of equals.
     """
-    both = g.undirected().withColumn("w", PropertyGraph(g.V, g.undirected()).weight(weight)) if weight else g.undirected().withColumn("w", F.lit(1.0))
-    link = written(both.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
+    e = written(g.E.select("src", "dst", g.weight(weight).alias("w") if weight else F.lit(1.0).alias("w")).filter("src <> dst"), "edges")
+    both, rows = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), 2 * e.count()
+    # Dealt out by dst once, in all of the rounds' joins.
+    link = co_located(written(dealt(both, rows, "src", "dst").groupBy("src", "dst").agg(F.sum("w").alias("w")), "links"), "dst", rows)
     deg = link.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     order = F.coalesce("d", F.lit(0)) if by_degree else F.lit(0)
     rank = g.V.select("id").join(deg, "id", "left").select("id", F.struct(order.alias("d"), F.xxhash64("id").alias("h"), "id").alias("rank"))
@@ -193,6 +195,7 @@ def colour_rounds(g: PropertyGraph, colours: int | None = None, weight: str | No
         fresh = written(now.join(used, "id", "left").select("id", F.when(F.col("used").isNull(), F.lit(0).cast("long")).otherwise(free).alias("color")), "fresh")
         done = written(done.union(fresh), "coloured")
         todo = written(todo.join(fresh, "id", "left_anti"), "todo")
+    link.unpersist()
     return done
 
 

@@ -273,7 +273,8 @@ def flow_hierarchy(g: PropertyGraph, weight: str | None = None) -> DataFrame:
 
 @register("nxalg.isolates")
 def isolates(g: PropertyGraph) -> DataFrame:
-    return g.V.select("id").join(g.E.select(F.col("src").alias("id")).union(g.E.select("dst")), "id", "left_anti").select(F.col("id").alias("isolates"))
+    ends = g.E.select(F.explode(F.array("src", "dst")).alias("id")).distinct()  # edges are read once, and ends dealt out once each
+    return g.V.select("id").join(ends, "id", "left_anti").select(F.col("id").alias("isolates"))
 
 
 @register("nxalg.is_isolate")

@@ -5,6 +5,7 @@ import pytest
 
 from grafloom.graph import PropertyGraph
 from grafloom.operators import similarity
+from grafloom.plans import lineage
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,13 @@ def test_embeddings_need_no_join(spark):
     assert "Join" not in v._jdf.queryExecution().optimizedPlan().toString()
     some = dict(g.call("embeddings.node_sentence", [2]).V.select("id", "embedding").collect())
     assert some[1] is None and some[2] == dict(v.select("id", "embedding").collect())[2]
+
+
+def test_tasks_grow_in_number_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 10)
+    df = spark.range(95)
+    assert lineage.dealt(df, 95, "id").rdd.getNumPartitions() == 10
+    assert lineage.dealt(df, 9, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = PropertyGraph.of(spark, list(range(30)), [(i, (i * 7 + 1) % 30) for i in range(30)])
+    colour = dict(g.call("nxalg.greedy_color").collect())
+    assert all(colour[r["src"]] != colour[r["dst"]] for r in g.E.collect() if r["src"] != r["dst"]) and len(colour) == 30
