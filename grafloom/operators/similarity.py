@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,19 +12,69 @@ from pyspark.sql import functions as F
 
 from ..functions.collections import _guard
 from ..graph import PropertyGraph, prop
-from ..plans.lineage import written
+from ..plans.lineage import dealt, dealt_by_range, written
 from ..registry import register
 
 
 def _shared(g: PropertyGraph) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct out-links, (id, size) and (node1, node2, common) for pairs that share a neighbour."""
     link = written(g.E.select("src", "dst").distinct(), "links")
-    size = link.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("size"))
-    a, b = link.select(F.col("src").alias("node1"), "dst"), link.select(F.col("src").alias("node2"), "dst")
-    common = a.join(b, "dst").filter("node1 < node2").groupBy("node1", "node2").agg(F.count(F.lit(1)).alias("common"))
+    # Written, so that a small table of sizes is known to be one and pairs aren't dealt out to meet it.
+    size = written(link.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    part = dealt_by_range(link, link.count(), "dst", "src").mapInArrow(_counted_pairs, "node1 long, node2 long, n long")
+    part = written(part, "pairs")
+    common = dealt(part, part.count(), "node1", "node2").groupBy("node1", "node2").agg(F.sum("n").alias("common"))
     return link, size, common
 
 
+#: A task counts about so many pairs at a time.
+PAIRS = 2_000_000
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node1, node2, n): of links (src, dst) dealt out and sorted by dst then src, how often two src have one dst in common, by parts of a task."""
+
+    def settled(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        a, b, n = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        at = np.lexsort((b, a))
+        a, b, n = a[at], b[at], n[at]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return a[new], b[new], np.add.reduceat(n, new)
+
+    def out(pairs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["node1", "node2", "n"])
+
+    src, dst, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for batch in batches:
+        # The last run goes on in the next batch; of it only new links meet those before them.
+        old = len(src)
+        src, dst = np.concatenate([src, batch.column("src").to_numpy()]), np.concatenate([dst, batch.column("dst").to_numpy()])
+        begin = np.searchsorted(dst, dst)
+        count = np.arange(len(src)) - begin
+        count[:old] = 0
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(src):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+            c = count[lo:hi]
+            second = np.repeat(np.arange(lo, hi), c)
+            first = np.repeat(begin[lo:hi], c) + np.arange(len(second)) - np.repeat(np.cumsum(c) - c, c)
+            if len(second):
+                held.append((src[first], src[second], np.ones(len(second), np.int64)))
+                size += len(second)
+            lo = hi
+            if size >= 2 * PAIRS:
+                held = [settled(held)]
+                size = len(held[0][0])
+                if size > PAIRS:
+                    yield out(held[0])
+                    held, size = [], 0
+        last = begin[-1] if len(src) else 0
+        src, dst = src[last:], dst[last:]
+    if held:
+        yield out(settled(held))
+
+
 def _all_pairs(g: PropertyGraph) -> DataFrame:
     """Every unordered pair of vertices, the operator's result by definition: n * (n - 1) / 2 rows."""
     v = g.V.select(F.col("id").alias("node1"))

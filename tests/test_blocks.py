@@ -1,6 +1,7 @@
 """Pairs of vectors by blocks, whatever their number; embeddings are made where the nodes are."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grafloom.graph import PropertyGraph
@@ -65,3 +66,16 @@ def test_tasks_grow_in_number_with_rows(spark, monkeypatch):
     g = PropertyGraph.of(spark, list(range(30)), [(i, (i * 7 + 1) % 30) for i in range(30)])
     colour = dict(g.call("nxalg.greedy_color").collect())
     assert all(colour[r["src"]] != colour[r["dst"]] for r in g.E.collect() if r["src"] != r["dst"]) and len(colour) == 30
+
+
+@pytest.mark.parametrize(("pairs", "batch"), [(3, 4), (2_000_000, 10_000)])
+def test_pairs_that_share_a_neighbour_are_counted_by_runs(pairs, batch, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS", pairs)
+    links = sorted({(int(d), int(s)) for d, s in np.random.default_rng(1).integers(0, 9, (60, 2))})
+    t = pa.table({"src": [s for _, s in links], "dst": [d for d, _ in links]})
+    got = {}
+    for b in similarity._counted_pairs(iter(t.to_batches(max_chunksize=batch))):
+        for a, c, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[a, c] = got.get((a, c), 0) + n
+    of = {s: {d for d, x in links if x == s} for _, s in links}
+    assert got == {(a, c): len(of[a] & of[c]) for a in of for c in of if a < c and of[a] & of[c]}
