@@ -417,15 +417,16 @@ def tgn_train(g: PropertyGraph, num_epochs: int) -> DataFrame:
     if TGN["split"] is None:
         raise ValueError("call set_eval first")
     size, d = TGN["settings"]["batch_size"], TGN["settings"]["dimension"]
+    edges = written(g.E.select("id", "src", "dst"), "edges")  # read by every batch
     for epoch in range(num_epochs):
         TGN["memory"] = None
-        ordered = g.E.select("id", "src", "dst").orderBy("id")
+        ordered = edges.orderBy("id")
         n_train = ordered.filter(F.col("id") <= TGN["split"]).count()
         n = ordered.count()
         bounds = sorted({0, n_train, n, *range(0, n_train, size), *range(n_train, n, size)})
         ids = [r["id"] for r in ordered.select("id").collect()]
         for b, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            batch = g.E.select("id", "src", "dst").filter((F.col("id") >= ids[lo]) & (F.col("id") <= ids[hi - 1]))
+            batch = edges.filter((F.col("id") >= ids[lo]) & (F.col("id") <= ids[hi - 1]))
             held = lo >= n_train
             rows = batch.collect() if held else []
             value = None
